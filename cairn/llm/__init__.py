@@ -1 +1,10 @@
-"""Operators for building training corpora; nothing else in the library imports this package."""
+"""Operators for building training corpora; nothing else in the library imports this package.
+
+Its functions travel to the executors by value, so a cluster needs no copy of the package on its nodes.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

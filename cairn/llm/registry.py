@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cairn.llm import mixing, sharding, url_filters
+from cairn.llm import decontamination, mixing, sharding, url_filters, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
