@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontamination, mixing, sharding, url_filters, warc
+from cairn.llm import decontamination, mixing, secrets, sharding, url_filters, warc
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op3_warc": warc.op3_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE_SQL = {
+    "op1_secrets": secrets.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
