@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontamination, mixing, secrets, sharding, url_filters, warc
+from cairn.llm import decontamination, mixing, secrets, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_warc": warc.op3_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op9_sharding": sharding.op9_sharding,
