@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontamination, mixing, secrets, sharding, toxicity, url_filters, warc
+from cairn.llm import decontamination, mixing, ngram_join, secrets, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_url_filters": url_filters.op10_url_filters,
 }
