@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontamination, mixing, ngram_join, secrets, sharding, toxicity, url_filters, warc
+from cairn.llm import decontamination, mixing, neighbours, ngram_join, secrets, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_warc": warc.op3_warc,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
