@@ -35,7 +35,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """source, source_size, target: water-filling in closed form over one row for each source.
 
     Sources fill up in the order of cap over weight. With the k fullest capped, the level of the others is what is
-    left by their weight; k is the first at which that level stays under the next cap.
+    left by their weight; k is the first at which that level stays under the next cap, which is also the highest such.
     """
     held = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -49,7 +49,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
         F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_w_full"),
         F.sum("_w").over(everything).alias("_w_all"), F.sum("source_size").over(everything).alias("_all"),
     ).withColumn("_level", (F.col("_all") * F.lit(float(share)) - F.col("_full")) / (F.col("_w_all") - F.col("_w_full")))
-    fits = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything)
+    fits = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything)
     water = level.withColumn("_water", fits)
     due = F.when(F.col("_water").isNull() | (F.col("_water") * F.col("_w") > F.col("_cap")), F.col("_cap")).otherwise(F.col("_water") * F.col("_w"))
     return water.select("source", "source_size", due.alias("target"))
@@ -104,6 +104,28 @@ def mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
     return take(settle(draws(docs, quality), "mix"))
 
 
+def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed`` (a result of ``mix`` of them) holds them, with their columns alone.
+
+    Rows that share doc_id, source and text are told apart by count only: their copies are pooled and dealt evenly.
+    Documents of size 0 cost no budget and come and go by their keys alone.
+    """
+    key = ["doc_id", "source", "crc"]
+    pooled = mixed.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    pooled = pooled.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies", "_rows")
+    crc = F.crc32(text_or_empty().cast("binary"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (crc == F.col("_crc"))
+    held = docs.join(pooled.hint("shuffle_hash"), same)
+    alike = W.partitionBy("_doc_id", "_source", "_crc").orderBy(F.lit(1))
+    if mixed.groupBy(*key).count().where("count > 1").isEmpty():
+        times = F.col("_copies")
+    else:
+        held = held.withColumn("_nth", F.row_number().over(alike))
+        times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
+    held = held.withColumn("_times", times).where("_times > 0")
+    return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), label_quality(table(spark, sf_dir, "labels")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -131,7 +153,7 @@ level AS (
   FROM held WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 due AS (
   SELECT source, source_size, CASE WHEN water IS NULL OR water * w > cap THEN cap ELSE water * w END AS target
-  FROM (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS water FROM level)),
+  FROM (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS water FROM level)),
 run AS (
   SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
     sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size, crc ROWS UNBOUNDED PRECEDING) AS upto
