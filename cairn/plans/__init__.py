@@ -1 +1,4 @@
+"""Queries of the library over the driver's tables."""
 
+from cairn.plans import feature_queries  # noqa: F401
+from cairn.plans.registry import ORACLES, QUERIES  # noqa: F401
