@@ -122,7 +122,7 @@ class Challenger:
         not fall again after it.
         """
         rows = self._vectors(validation, (self.target,)).withColumn("label", F.col(self.target).cast("double"))
-        losses = self.model.evaluateEachIteration(rows, "logistic")
+        losses = self.model.evaluateEachIteration(rows.select("features", "label"))
         return min(range(len(losses)), key=losses.__getitem__) + 1, losses
 
     def importance(self, source_of) -> list[dict]:
