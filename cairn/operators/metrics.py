@@ -248,10 +248,11 @@ def paired_bootstrap(predictions: DataFrame, key: str, reference: str, replicate
     models = summary(reps, ["model", "metric"]).join(point, ["model", "metric"])
     base = reps.select("rep", "metric", F.col("model").alias("base"), F.col("value").alias("_base"))
     wanted = (F.col("model") != F.col("base")) & ((F.col("base") == reference) | ((F.col("model") != reference) & (F.col("model") > F.col("base"))))
-    diffs = reps.join(base, ["rep", "metric"]).where(wanted).withColumn("value", F.col("value") - F.col("_base"))
+    # Sums in another order differ in their last bits; what is below 12 decimals is no difference.
+    diffs = reps.join(base, ["rep", "metric"]).where(wanted).withColumn("value", F.round(F.col("value") - F.col("_base"), 12))
     higher = F.col("metric").isin(*[m for m, up in HIGHER_IS_BETTER.items() if up])
     better = F.when(higher, F.col("value") > 0).otherwise(F.col("value") < 0)
     found = summary(diffs, ["model", "base", "metric"], F.avg(better.cast("int")).alias("fraction_improving"))
     base_point = point.select(F.col("model").alias("base"), "metric", F.col("estimate").alias("_base"))
-    differences = found.join(point, ["model", "metric"]).join(base_point, ["base", "metric"]).withColumn("estimate", F.col("estimate") - F.col("_base")).drop("_base")
+    differences = found.join(point, ["model", "metric"]).join(base_point, ["base", "metric"]).withColumn("estimate", F.round(F.col("estimate") - F.col("_base"), 12)).drop("_base")
     return models, differences.withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
