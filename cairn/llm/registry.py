@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontamination, mixing, neighbours, ngram_join, secrets, sharding, toxicity, url_filters, warc
+from cairn.llm import decontamination, line_dedup, mixing, neighbours, ngram_join, secrets, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_warc": warc.op3_warc,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_toxicity": toxicity.op5_toxicity,

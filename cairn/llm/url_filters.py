@@ -65,8 +65,9 @@ def build_filter(keys: DataFrame, key: str, level: int, n: int, rate: float) ->
     spots = keys.select(F.explode(F.array(*[_spot(F.col(key), s, bits) for s in seeds])).alias("spot"))
     one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
     words = spots.groupBy(F.expr("cast(spot div 64 as int)").alias("at")).agg(F.bit_or(one).alias("word"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.col("held")[i], F.lit(0).cast("long")))
-    row = words.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("held")).select(spread.alias("words"))
+    empty = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("word"))
+    every = words.unionByName(empty).groupBy("at").agg(F.bit_or("word").alias("word"))
+    row = every.agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("held")).select(F.transform("held", lambda w: w["word"]).alias("words"))
     return {"words": settle(row, f"cascade-{level}"), "bits": bits, "seeds": seeds}
 
 
