@@ -33,11 +33,19 @@ COUNT_TOP, HASH_BITS = 2**24 - 1, 39
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, words (distinct, lower case) of every line."""
+def words_of(line: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), SEPARATORS), ""))
+
+
+def lines_of(docs: DataFrame, content: str = "words") -> DataFrame:
+    """doc_id, text_key, line_no, and the ``line`` or its distinct lower-case ``words``."""
     text = text_or_empty()
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "text_key", "line_no", F.array_distinct(F.array_remove(F.split(F.lower("line"), SEPARATORS), "")).alias("words"))
+    return lines if content == "line" else lines.select("doc_id", "text_key", "line_no", words_of(F.col("line")).alias("words"))
+
+
+def place_hash(of: str = "") -> Column:
+    return F.xxhash64(*[F.col(f"{of}{c}") for c in ("doc_id", "text_key", "line_no")])
 
 
 def count_words(lines: DataFrame) -> DataFrame:
@@ -51,8 +59,8 @@ def count_words(lines: DataFrame) -> DataFrame:
     return settle(row.select(F.transform("cells", lambda c: c["n"]).alias("counts")), "word-counts")
 
 
-def ranked(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, and ``ranks``: a number for each word, sorted, that starts with its count and ends with its hash."""
+def ranked(lines: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("doc_id", "text_key", "line_no")) -> DataFrame:
+    """The columns to keep, and ``ranks``: a number for each word, sorted, that starts with its count and ends with its hash."""
     hashes = F.transform("words", lambda w: F.xxhash64(w))
 
     def rank(h: Column) -> Column:
@@ -61,7 +69,7 @@ def ranked(lines: DataFrame, counts: DataFrame) -> DataFrame:
         return F.shiftleft(count, HASH_BITS).bitwiseOR(tail)
 
     lines = lines.withColumn("_counts", counts.scalar())
-    return lines.select("doc_id", "text_key", "line_no", F.sort_array(F.transform(hashes, rank)).alias("ranks"))
+    return lines.select(*keep, F.sort_array(F.transform(hashes, rank)).alias("ranks"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -139,14 +147,16 @@ def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
 def removed_by(pairs: DataFrame, docs: DataFrame, counts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """k, k2 of the later line of every pair whose sets are similar. Sets are made again from the texts, for the lines of pairs alone."""
     pairs = settle(pairs, f"{name}-pairs")
-    wanted = settle(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), f"{name}-wanted")
-    n = wanted.count()
-    rows = keyed(ranked(lines_of(docs), counts)).where("k IS NOT NULL").select("k", "k2", "ranks")
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    places = settle(keys.select("k", "k2", "first", place_hash("first.").alias("place")).join(wanted, "k"), f"{name}-places")
+    n = places.count()
+    lines = lines_of(docs, "line")
     if 0 < n * 10 <= MAX_BITS:
-        bloom = build_filter(wanted, "k", 91, n, 1 / 64)
-        rows = rows.where(holds(F.col("k"), bloom, bloom["words"].scalar()))
-    sets = rows.join(wanted, "k", "left_semi").groupBy("k", "k2").agg(F.any_value("ranks").alias("ranks"))
-    sets = settle(sets.join(keys.select("k", "k2", "first"), ["k", "k2"]), f"{name}-sets")
+        bloom = build_filter(places, "place", 91, n, 1 / 64)
+        lines = lines.where(holds(place_hash(), bloom, bloom["words"].scalar()))
+    at = F.struct("doc_id", "text_key", "line_no")
+    found = places.join(lines, (F.col("place") == place_hash()) & at.eqNullSafe(F.col("first"))).dropDuplicates(["k", "k2"])
+    sets = settle(ranked(found.withColumn("words", words_of(F.col("line"))), counts, ("k", "k2", "first")), f"{name}-sets")
     left = sets.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("k2", "ranks", "first")])
     right = sets.select(F.col("k").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("k2", "ranks", "first")])
     up, down = SIMILARITY
