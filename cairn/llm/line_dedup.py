@@ -8,9 +8,9 @@ there are compared: by length, by what the positions of the shared word leave po
 whose distance never exceeds the difference of the sets. Pairs that pass are verified on the whole sets.
 
 Rarity is exact counting over the whole corpus in ``2 ** COUNT_BITS`` hashed cells, a table of fixed size: the order
-is the same for all lines, which is all that exactness asks for. Equal sets are one key before anything is joined. In
-a word's group all lines meet its earliest one; groups of up to ``SMALL`` lines meet pairwise at once, and in larger
-ones only the lines that are still not removed then meet all others. So the many variants of one line are settled by
+is the same for all lines, which is all that exactness asks for. Equal sets are one key before anything is joined. The
+lines of a word's group meet pairwise where there are up to ``SMALL`` of them; in larger groups all lines meet the
+earliest one, and only those still not removed then meet all others. So the many variants of one line are settled by
 their first one, and no table holds the pairs of such a group.
 
 Defined cases: null text is one empty line; lines without words are always kept; rows that share doc_id and text are
@@ -28,7 +28,7 @@ from cairn.llm.url_filters import MAX_BITS, build_filter, holds
 
 #: Similarity as a fraction: 4 / 5.
 SIMILARITY = (4, 5)
-COUNT_BITS, SMALL = 18, 48
+COUNT_BITS, SMALL = 20, 64
 COUNT_TOP, HASH_BITS = 2**24 - 1, 39
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,9 +54,9 @@ def count_words(lines: DataFrame) -> DataFrame:
     cell = F.explode("words").alias("word")
     seen = lines.select(cell).groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
     every = seen.unionByName(spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
-    capped = F.least("n", F.lit(COUNT_TOP)).cast("int")
-    row = every.agg(F.array_sort(F.collect_list(F.struct("cell", capped.alias("n")))).alias("cells"))
-    return settle(row.select(F.transform("cells", lambda c: c["n"]).alias("counts")), "word-counts")
+    packed = F.shiftleft("cell", 24).bitwiseOR(F.least("n", F.lit(COUNT_TOP)))
+    row = every.agg(F.sort_array(F.collect_list(packed)).alias("cells"))
+    return settle(row.select(F.transform("cells", lambda c: c.bitwiseAND(F.lit(COUNT_TOP)).cast("int")).alias("counts")), "word-counts")
 
 
 def ranked(lines: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("doc_id", "text_key", "line_no")) -> DataFrame:
@@ -79,34 +79,41 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """The narrow table of all lines: place, name of the set, its size, parity bitmap and prefix."""
+    """The narrow table of all lines: place, name of the set, its size, parity bitmap and prefix (null for words of this line alone, which meet nothing)."""
     size = F.size("ranks")
     up, down = SIMILARITY
     prefix = F.slice("ranks", 1, size - F.ceil(size * F.lit(up) / F.lit(down)).cast("int") + 1)
     bitmap = F.aggregate("ranks", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     return rows.select(
         "doc_id", "text_key", "line_no", "k", "k2", size.alias("size"), F.when(size > 0, bitmap).alias("bitmap"),
-        F.when(size > 0, F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))).alias("prefix"),
+        F.when(size > 0, F.transform(prefix, lambda x: F.when(F.shiftright(x, HASH_BITS) > 1, x.bitwiseAND(F.lit(2**31 - 1)).cast("int")))).alias("prefix"),
     )
 
 
 def may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """The length, positional and bitmap filters for two postings of one word (positions from 0)."""
+    """The length, positional and bitmap filters for two postings of one word (positions from 0).
+
+    Of two sets the smaller (of equal ones that with the smaller name) shares a word within its first
+    ``n - ceil(8 n / 9) + 1`` already, so pairs that meet at a later word of it are left to that one.
+    """
     up, down = SIMILARITY
     n = a["size"] + b["size"]
     least = F.ceil(n * F.lit(up) / F.lit(up + down)).cast("int")
     fits = (F.least(a["size"], b["size"]) * F.lit(down) >= F.greatest(a["size"], b["size"]) * F.lit(up))
     rest = F.least(a["size"] - a["at"], b["size"] - b["at"]) >= least
-    return fits & rest & (F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"])) <= n - F.lit(2) * least)
+    early = lambda x: x["at"] <= x["size"] - F.ceil(x["size"] * F.lit(2 * up) / F.lit(up + down))
+    smaller = (a["size"] < b["size"]) | ((a["size"] == b["size"]) & (a["k"] < b["k"]))
+    return fits & rest & F.when(smaller, early(a)).otherwise(early(b)) & (F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"])) <= n - F.lit(2) * least)
 
 
 def _of(prefix: str) -> dict[str, Column]:
-    return {c: F.col(f"{prefix}{c}") for c in ("size", "at", "bitmap")}
+    return {c: F.col(f"{prefix}{c}") for c in ("k", "size", "at", "bitmap")}
 
 
 def postings(keys: DataFrame) -> DataFrame:
     """word, doc, k, size, at, bitmap; repartitioned by word."""
-    return keys.select(F.col("first.doc_id").alias("doc"), "k", "size", "bitmap", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", "bitmap", F.posexplode("prefix").alias("at", "word"))
+    return posted.where("word IS NOT NULL").repartition("word")
 
 
 def _sorted_pair(a: Column, b: Column) -> list[Column]:
@@ -114,12 +121,13 @@ def _sorted_pair(a: Column, b: Column) -> list[Column]:
 
 
 def first_pairs(keys: DataFrame) -> DataFrame:
-    """a, b: pairs of k that may match: every line with the earliest of its words' groups, and all of small groups."""
+    """a, b: pairs of k that may match: all of small groups, and every line of larger ones with the group's earliest."""
     posted = postings(keys)
     group = W.partitionBy("word")
-    met = posted.withColumns({"_n": F.count("*").over(group), "_hub": F.min(F.struct("doc", "k", "size", "at", "bitmap")).over(group)}).where("_n > 1")
+    counted = posted.withColumn("_n", F.count("*").over(group))
+    met = counted.withColumn("_hub", F.min(F.struct("doc", "k", "size", "at", "bitmap")).over(group)).where(F.col("_n") > SMALL)
     hubs = met.where((F.col("k") != F.col("_hub.k")) & may_match(_of(""), _of("_hub."))).select(*_sorted_pair(F.col("k"), F.col("_hub.k")))
-    small = posted.withColumn("_n", F.count("*").over(group)).where(F.col("_n").between(3, SMALL)).drop("_n")
+    small = counted.where(F.col("_n").between(2, SMALL)).drop("_n", "doc")
     other = small.select("word", *[F.col(c).alias(f"o_{c}") for c in ("k", "size", "at", "bitmap")])
     pairs = small.join(other, "word").where((F.col("k") < F.col("o_k")) & may_match(_of(""), _of("o_"))).select(F.col("k").alias("a"), F.col("o_k").alias("b"))
     return hubs.unionByName(pairs).distinct()
@@ -127,12 +135,12 @@ def first_pairs(keys: DataFrame) -> DataFrame:
 
 def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
     """a, b of groups beyond ``SMALL``: lines not removed so far with all others that are not later by doc_id."""
-    words = keys.select(F.explode("prefix").alias("word")).groupBy("word").count().where(F.col("count") > SMALL)
+    words = keys.select(F.explode("prefix").alias("word")).where("word IS NOT NULL").groupBy("word").count().where(F.col("count") > SMALL)
     large = settle(words.select("word"), "large-groups")
     n = large.count()
     if not n:
         return None
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", "bitmap", F.posexplode("prefix").alias("at", "word"))
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", "bitmap", F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
     if n * 10 <= MAX_BITS:
         bloom = build_filter(large, "word", 90, n, 1 / 64)
         posted = posted.where(holds(F.col("word"), bloom, bloom["words"].scalar()))
