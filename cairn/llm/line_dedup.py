@@ -28,17 +28,19 @@ from cairn.llm.url_filters import MAX_BITS, build_filter, holds
 
 #: Similarity as a fraction: 4 / 5.
 SIMILARITY = (4, 5)
-COUNT_BITS, SMALL = 20, 64
+COUNT_BITS, SMALL = 20, 512
 COUNT_TOP, HASH_BITS = 2**24 - 1, 39
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), SEPARATORS), ""))
+    """The distinct words of a line as 64-bit hashes; what stands before a leading or after a last separator is no word."""
+    hashes = F.transform(F.split(F.lower(line), SEPARATORS), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def lines_of(docs: DataFrame, content: str = "words") -> DataFrame:
-    """doc_id, text_key, line_no, and the ``line`` or its distinct lower-case ``words``."""
+    """doc_id, text_key, line_no, and the ``line`` or the hashes of its distinct lower-case ``words``."""
     text = text_or_empty()
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines if content == "line" else lines.select("doc_id", "text_key", "line_no", words_of(F.col("line")).alias("words"))
@@ -52,7 +54,7 @@ def count_words(lines: DataFrame) -> DataFrame:
     """One row: an array of how often the words of each cell stand in lines."""
     spark, cells = lines.sparkSession, 2**COUNT_BITS
     cell = F.explode("words").alias("word")
-    seen = lines.select(cell).groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
+    seen = lines.select(cell).groupBy(F.col("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
     every = seen.unionByName(spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
     packed = F.shiftleft("cell", 24).bitwiseOR(F.least("n", F.lit(COUNT_TOP)))
     row = every.agg(F.sort_array(F.collect_list(packed)).alias("cells"))
@@ -61,15 +63,13 @@ def count_words(lines: DataFrame) -> DataFrame:
 
 def ranked(lines: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("doc_id", "text_key", "line_no")) -> DataFrame:
     """The columns to keep, and ``ranks``: a number for each word, sorted, that starts with its count and ends with its hash."""
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-
     def rank(h: Column) -> Column:
         count = F.get("_counts", h.bitwiseAND(F.lit(2**COUNT_BITS - 1)).cast("int")).cast("long")
         tail = F.shiftrightunsigned(h, COUNT_BITS).bitwiseAND(F.lit(2**HASH_BITS - 1))
         return F.shiftleft(count, HASH_BITS).bitwiseOR(tail)
 
     lines = lines.withColumn("_counts", counts.scalar())
-    return lines.select(*keep, F.sort_array(F.transform(hashes, rank)).alias("ranks"))
+    return lines.select(*keep, F.sort_array(F.transform("words", rank)).alias("ranks"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
