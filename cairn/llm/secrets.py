@@ -80,6 +80,8 @@ def _read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
+#: Keys over which the paths of one blob are spread when its findings are joined back.
+SALTS = 16
 LEDGER = "blob binary, rules array<string>, spans array<struct<rule:string,from:int,to:int>>"
 
 
@@ -122,9 +124,10 @@ def findings(addressed: DataFrame, ledger: str, rules: tuple = RULES) -> DataFra
     held = _read_ledger(addressed.sparkSession, ledger).where(F.size("spans") > 0)
     span = F.filter(F.array_distinct(F.flatten(F.collect_list("spans"))), lambda s: F.array_contains(known, s["rule"]))
     ordered = F.array_sort(F.transform(span, lambda s: F.struct(s["from"].alias("from"), kinds[s["rule"]]["order"].alias("order"), s["to"].alias("to"), kinds[s["rule"]]["kind"].alias("kind"))))
-    held = held.groupBy("blob").agg(ordered.alias("spans"))
+    held = held.groupBy("blob").agg(ordered.alias("spans")).select(F.col("blob").alias("_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     none = F.array().cast("array<struct<from:int,order:int,to:int,kind:string>>")
-    return addressed.join(held, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    return addressed.join(held, (F.col("blob") == F.col("_blob")) & (salt == F.col("_salt")), "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
