@@ -4,8 +4,8 @@ A line is the set of its words. A line is removed if an earlier line of the corp
 line number, has the same set or one of Jaccard similarity ``SIMILARITY`` or more; whether that line is itself removed
 does not matter. The words of a set are ordered by rarity, rarest first. Two similar sets share a word within their
 prefixes (the first ``n - ceil(0.8 n) + 1`` words), so prefixes are posted under their words and only lines that meet
-there are compared: by length, by what the positions of the shared word leave possible, and by a 64-bit parity bitmap
-whose distance never exceeds the difference of the sets. Pairs that pass are verified on the whole sets.
+there are compared: by length, by what the positions of the shared word leave possible, and by a parity bitmap whose
+distance never exceeds the difference of the sets. Pairs that pass are verified on the whole sets.
 
 Rarity is exact counting over the whole corpus in ``2 ** COUNT_BITS`` hashed cells, a table of fixed size: the order
 is the same for all lines, which is all that exactness asks for. Equal sets are one key before anything is joined. The
@@ -30,6 +30,10 @@ from cairn.llm.url_filters import MAX_BITS, build_filter, holds
 SIMILARITY = (4, 5)
 COUNT_BITS, SMALL = 20, 512
 COUNT_TOP, HASH_BITS = 2**24 - 1, 39
+#: Words beyond which the parity bitmap has 128 bits; its two halves together are the 64-bit one.
+LONG = 60
+#: What is known of a line where it is posted.
+SEEN = ("k", "size", "at", "bitmap", "bitmap2")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -50,11 +54,11 @@ def place_hash(of: str = "") -> Column:
     return F.xxhash64(*[F.col(f"{of}{c}") for c in ("doc_id", "text_key", "line_no")])
 
 
-def count_words(lines: DataFrame) -> DataFrame:
-    """One row: an array of how often the words of each cell stand in lines."""
-    spark, cells = lines.sparkSession, 2**COUNT_BITS
-    cell = F.explode("words").alias("word")
-    seen = lines.select(cell).groupBy(F.col("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
+def count_words(docs: DataFrame) -> DataFrame:
+    """One row: an array of how often the words of each cell stand in all texts."""
+    spark, cells = docs.sparkSession, 2**COUNT_BITS
+    words = docs.select(F.explode(F.split(F.lower(text_or_empty()), SEPARATORS)).alias("word")).where("word <> ''")
+    seen = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
     every = seen.unionByName(spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
     packed = F.shiftleft("cell", 24).bitwiseOR(F.least("n", F.lit(COUNT_TOP)))
     row = every.agg(F.sort_array(F.collect_list(packed)).alias("cells"))
@@ -83,9 +87,12 @@ def described(rows: DataFrame) -> DataFrame:
     size = F.size("ranks")
     up, down = SIMILARITY
     prefix = F.slice("ranks", 1, size - F.ceil(size * F.lit(up) / F.lit(down)).cast("int") + 1)
-    bitmap = F.aggregate("ranks", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    zero, bit = F.lit(0).cast("long"), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda of: F.aggregate("ranks", zero, lambda acc, x: acc.bitwiseXOR(of(x)))
+    half = lambda side: parity(lambda x: F.when(x.bitwiseAND(F.lit(64)) == F.lit(64 * side), bit(x)).otherwise(zero))
+    bitmap, bitmap2 = F.when(size > LONG, half(0)).otherwise(parity(bit)), F.when(size > LONG, half(1)).otherwise(zero)
     return rows.select(
-        "doc_id", "text_key", "line_no", "k", "k2", size.alias("size"), F.when(size > 0, bitmap).alias("bitmap"),
+        "doc_id", "text_key", "line_no", "k", "k2", size.alias("size"), F.when(size > 0, bitmap).alias("bitmap"), F.when(size > 0, bitmap2).alias("bitmap2"),
         F.when(size > 0, F.transform(prefix, lambda x: F.when(F.shiftright(x, HASH_BITS) > 1, x.bitwiseAND(F.lit(2**31 - 1)).cast("int")))).alias("prefix"),
     )
 
@@ -101,18 +108,21 @@ def may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
     least = F.ceil(n * F.lit(up) / F.lit(up + down)).cast("int")
     fits = (F.least(a["size"], b["size"]) * F.lit(down) >= F.greatest(a["size"], b["size"]) * F.lit(up))
     rest = F.least(a["size"] - a["at"], b["size"] - b["at"]) >= least
+    one, two = a["bitmap"].bitwiseXOR(b["bitmap"]), a["bitmap2"].bitwiseXOR(b["bitmap2"])
+    both_long = (a["size"] > LONG) & (b["size"] > LONG)
+    distance = F.when(both_long, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
     early = lambda x: x["at"] <= x["size"] - F.ceil(x["size"] * F.lit(2 * up) / F.lit(up + down))
     smaller = (a["size"] < b["size"]) | ((a["size"] == b["size"]) & (a["k"] < b["k"]))
-    return fits & rest & F.when(smaller, early(a)).otherwise(early(b)) & (F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"])) <= n - F.lit(2) * least)
+    return fits & rest & F.when(smaller, early(a)).otherwise(early(b)) & (distance <= n - F.lit(2) * least)
 
 
 def _of(prefix: str) -> dict[str, Column]:
-    return {c: F.col(f"{prefix}{c}") for c in ("k", "size", "at", "bitmap")}
+    return {c: F.col(f"{prefix}{c}") for c in SEEN}
 
 
 def postings(keys: DataFrame) -> DataFrame:
     """word, doc, k, size, at, bitmap; repartitioned by word."""
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", "bitmap", F.posexplode("prefix").alias("at", "word"))
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", "bitmap", "bitmap2", F.posexplode("prefix").alias("at", "word"))
     return posted.where("word IS NOT NULL").repartition("word")
 
 
@@ -125,10 +135,10 @@ def first_pairs(keys: DataFrame) -> DataFrame:
     posted = postings(keys)
     group = W.partitionBy("word")
     counted = posted.withColumn("_n", F.count("*").over(group))
-    met = counted.withColumn("_hub", F.min(F.struct("doc", "k", "size", "at", "bitmap")).over(group)).where(F.col("_n") > SMALL)
+    met = counted.withColumn("_hub", F.min(F.struct("doc", *SEEN)).over(group)).where(F.col("_n") > SMALL)
     hubs = met.where((F.col("k") != F.col("_hub.k")) & may_match(_of(""), _of("_hub."))).select(*_sorted_pair(F.col("k"), F.col("_hub.k")))
     small = counted.where(F.col("_n").between(2, SMALL)).drop("_n", "doc")
-    other = small.select("word", *[F.col(c).alias(f"o_{c}") for c in ("k", "size", "at", "bitmap")])
+    other = small.select("word", *[F.col(c).alias(f"o_{c}") for c in SEEN])
     pairs = small.join(other, "word").where((F.col("k") < F.col("o_k")) & may_match(_of(""), _of("o_"))).select(F.col("k").alias("a"), F.col("o_k").alias("b"))
     return hubs.unionByName(pairs).distinct()
 
@@ -140,13 +150,13 @@ def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
     n = large.count()
     if not n:
         return None
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", "bitmap", F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", "bitmap", "bitmap2", F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
     if n * 10 <= MAX_BITS:
         bloom = build_filter(large, "word", 90, n, 1 / 64)
         posted = posted.where(holds(F.col("word"), bloom, bloom["words"].scalar()))
     posted = posted.join(large, "word")
     open_ = posted.join(removed, ["k", "k2"], "left_anti")
-    other = posted.select("word", *[F.col(c).alias(f"o_{c}") for c in ("doc", "k", "size", "at", "bitmap")])
+    other = posted.select("word", *[F.col(c).alias(f"o_{c}") for c in ("doc", *SEEN)])
     earlier = F.col("o_doc").isNull() | (F.col("o_doc") <= F.col("doc"))
     pairs = open_.join(other, "word").where((F.col("k") != F.col("o_k")) & earlier & may_match(_of(""), _of("o_")))
     return pairs.select(*_sorted_pair(F.col("k"), F.col("o_k"))).distinct()
@@ -177,10 +187,10 @@ def removed_by(pairs: DataFrame, docs: DataFrame, counts: DataFrame, keys: DataF
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_rows, n_lines, removed: the numbers of the lines to remove, one row for each (doc_id, text)."""
-    counts = count_words(lines_of(docs))
+    counts = count_words(docs)
     lines = settle(described(keyed(ranked(lines_of(docs), counts))), "lines")
     named = lines.where("k IS NOT NULL")
-    keys = named.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.any_value("size").alias("size"), F.any_value("bitmap").alias("bitmap"), F.any_value("prefix").alias("prefix"))
+    keys = named.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.any_value("size").alias("size"), F.any_value("bitmap").alias("bitmap"), F.any_value("bitmap2").alias("bitmap2"), F.any_value("prefix").alias("prefix"))
     keys = settle(keys, "line-keys")
     removed = removed_by(first_pairs(keys), docs, counts, keys, "first")
     more = later_pairs(keys, removed)
@@ -209,3 +219,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = removed_lines(table(spark, sf_dir, "documents"))
     out = per.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed_lines"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"))
     return out.drop("_row")
+
+
+#: doc_id must be unique in the table.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM d),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''))) AS ws FROM l),
+k AS (SELECT ws, min((doc_id, line_no)) AS first FROM s WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT ws, first, unnest(ws) AS w FROM k),
+f AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+p AS (SELECT ws, first, w FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY n, w) AS i FROM t JOIN f USING (w)) WHERE i <= len(ws) - ceil(len(ws) * 4 / 5) + 1),
+c AS (SELECT DISTINCT a.ws AS a, b.ws AS b FROM p a JOIN p b ON a.w = b.w AND a.first < b.first AND len(a.ws) * 5 >= len(b.ws) * 4 AND len(b.ws) * 5 >= len(a.ws) * 4),
+g AS (SELECT DISTINCT b AS ws FROM (SELECT a, b, len(list_intersect(a, b)) AS n FROM c) WHERE n * 5 >= (len(a) + len(b) - n) * 4),
+r AS (SELECT s.doc_id, s.line_no FROM s JOIN k USING (ws) LEFT JOIN g USING (ws) WHERE g.ws IS NOT NULL OR (s.doc_id, s.line_no) <> k.first)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, count(line_no) AS n_removed, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no), '') AS removed_lines
+FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, len(ls)
+"""

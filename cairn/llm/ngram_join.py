@@ -294,3 +294,15 @@ def clean(docs: DataFrame) -> DataFrame:
     once = kept.join(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
     one = again.withColumn("_one", key).dropDuplicates(["doc_id", "_one"]).drop("_one")
     return once.unionByName(one)
+
+
+#: doc_id must be unique in the table. All shared runs are counted, which suits small tables alone.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+r AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM r a JOIN r b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c.n * 5 >= (x.n + y.n - c.n) * 4),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT doc_id, class_id, coalesce(m, 0) AS n_links FROM (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a) LEFT JOIN (SELECT a, count(*) AS m FROM l GROUP BY a) ON a = doc_id
+"""

@@ -18,9 +18,11 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE,
+    "op2_line_dedup": line_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
