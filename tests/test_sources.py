@@ -97,3 +97,18 @@ def test_entry_without_the_corpus_operators(tmp_path):
 def test_queries_have_names_and_oracles():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_zipped_file(tmp_path):
+    import zipfile
+
+    from cairn.sources.archives import extract_if_zipped
+
+    with zipfile.ZipFile(tmp_path / "a.csv.zip", "w") as z:
+        z.writestr("a.csv", "x\n1\n")
+    assert extract_if_zipped(tmp_path / "a.csv").read_text() == "x\n1\n" and not (tmp_path / "a.csv.zip").exists()
+    with zipfile.ZipFile(tmp_path / "b.csv.zip", "w") as z:
+        z.writestr("other.csv", "")
+    for missing in ("b.csv", "c.csv"):
+        with pytest.raises(FileNotFoundError):
+            extract_if_zipped(tmp_path / missing)
