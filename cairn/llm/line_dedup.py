@@ -33,7 +33,7 @@ COUNT_TOP, HASH_BITS = 2**24 - 1, 39
 #: Words beyond which the parity bitmap has 128 bits; its two halves together are the 64-bit one.
 LONG = 60
 #: What is known of a line where it is posted.
-SEEN = ("k", "size", "at", "bitmap", "bitmap2")
+SEEN = ("k", "size", "at", "bitmap")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -97,6 +97,21 @@ def described(rows: DataFrame) -> DataFrame:
     )
 
 
+def folded() -> Column:
+    """The 64-bit bitmap of a key, from its halves."""
+    return F.col("bitmap").bitwiseXOR(F.col("bitmap2")).alias("bitmap")
+
+
+def still_may_match(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs whose 128-bit bitmaps, which only keys of more than LONG words have, allow the similarity too."""
+    up, down = SIMILARITY
+    of = lambda side: keys.select(F.col("k").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "bitmap", "bitmap2")])
+    n = F.col("a_size") + F.col("b_size")
+    apart = F.bit_count(F.col("a_bitmap").bitwiseXOR(F.col("b_bitmap"))) + F.bit_count(F.col("a_bitmap2").bitwiseXOR(F.col("b_bitmap2")))
+    far = (F.col("a_size") > LONG) & (F.col("b_size") > LONG) & (apart > n - F.lit(2) * F.ceil(n * F.lit(up) / F.lit(up + down)))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(~far).select("a", "b").distinct()
+
+
 def may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """The length, positional and bitmap filters for two postings of one word (positions from 0).
 
@@ -108,9 +123,7 @@ def may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
     least = F.ceil(n * F.lit(up) / F.lit(up + down)).cast("int")
     fits = (F.least(a["size"], b["size"]) * F.lit(down) >= F.greatest(a["size"], b["size"]) * F.lit(up))
     rest = F.least(a["size"] - a["at"], b["size"] - b["at"]) >= least
-    one, two = a["bitmap"].bitwiseXOR(b["bitmap"]), a["bitmap2"].bitwiseXOR(b["bitmap2"])
-    both_long = (a["size"] > LONG) & (b["size"] > LONG)
-    distance = F.when(both_long, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
+    distance = F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"]))
     early = lambda x: x["at"] <= x["size"] - F.ceil(x["size"] * F.lit(2 * up) / F.lit(up + down))
     smaller = (a["size"] < b["size"]) | ((a["size"] == b["size"]) & (a["k"] < b["k"]))
     return fits & rest & F.when(smaller, early(a)).otherwise(early(b)) & (distance <= n - F.lit(2) * least)
@@ -122,7 +135,7 @@ def _of(prefix: str) -> dict[str, Column]:
 
 def postings(keys: DataFrame) -> DataFrame:
     """word, doc, k, size, at, bitmap; repartitioned by word."""
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", "bitmap", "bitmap2", F.posexplode("prefix").alias("at", "word"))
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", folded(), F.posexplode("prefix").alias("at", "word"))
     return posted.where("word IS NOT NULL").repartition("word")
 
 
@@ -150,7 +163,7 @@ def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
     n = large.count()
     if not n:
         return None
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", "bitmap", "bitmap2", F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
+    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", folded(), F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
     if n * 10 <= MAX_BITS:
         bloom = build_filter(large, "word", 90, n, 1 / 64)
         posted = posted.where(holds(F.col("word"), bloom, bloom["words"].scalar()))
@@ -164,7 +177,7 @@ def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
 
 def removed_by(pairs: DataFrame, docs: DataFrame, counts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """k, k2 of the later line of every pair whose sets are similar. Sets are made again from the texts, for the lines of pairs alone."""
-    pairs = settle(pairs, f"{name}-pairs")
+    pairs = settle(still_may_match(pairs, keys), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     places = settle(keys.select("k", "k2", "first", place_hash("first.").alias("place")).join(wanted, "k"), f"{name}-places")
     n = places.count()
