@@ -43,7 +43,7 @@ def run_baseline(df: DataFrame, config: RunConfig, paths: Paths) -> dict:
     """Validation report, frozen split, logistic regression, metrics of both parts, curves, model."""
     began = time.time()
     publish_json(validate(df, config.target, config.id_column), paths.metrics("data_validation"))
-    train, test = frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target)
+    train, test = (part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target))
     model = LinearModel(id_column=config.id_column, target=config.target).fit(train)
     model.model.write().overwrite().save(str(paths.root / "models" / "logistic_regression"))
     parts = {name: scored(model.predict(rows), rows, config).cache() for name, rows in (("train", train), ("test", test))}
@@ -95,7 +95,7 @@ def final_stage(df: DataFrame, train: DataFrame, test: DataFrame, spec: Challeng
 
 def run_challengers(df: DataFrame, config: RunConfig, paths: Paths, name: str = "boosted_trees") -> dict:
     began = time.time()
-    train, test = frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target)
+    train, test = (part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target))
     spec, record = select_challenger(train, config, selection.TrialLog(paths.trials))
     publish_json({"spec": spec.to_dict(), "validation": record, "config": config.to_dict()}, paths.lock)
     return final_stage(df, train, test, spec, config, paths, name) | {"run": run_metadata(began)}
@@ -104,8 +104,8 @@ def run_challengers(df: DataFrame, config: RunConfig, paths: Paths, name: str =
 def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfig, paths: Paths, resume: bool = False) -> dict:
     """Ablation grid on the inner split, backward elimination, then the final model of the retained sources. A run that stops goes on at the last configuration done."""
     began, sources, key, target = time.time(), tuple(tables), config.id_column, config.target
-    matrix = assemble.build_matrix(df.drop(target), tables, key).join(df.select(key, target), key)
-    train, test = frozen_split(matrix, membership(df, config, paths), config.test_size, config.seed, key, target)
+    matrix = assemble.build_matrix(df.drop(target), tables, key).join(df.select(key, target), key).cache()
+    train, test = (part.cache() for part in frozen_split(matrix, membership(df, config, paths), config.test_size, config.seed, key, target))
     inner = stratified_split(train, config.validation_size, config.seed, key, target)
     fit, valid = (train.join(inner.where(F.col("split") == s), key).drop("split").cache() for s in ("train", "test"))
     held = json.loads(paths.lock.read_text()) if paths.lock.exists() else None

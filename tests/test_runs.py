@@ -4,7 +4,6 @@ import pytest
 from test_features import APPLIED, BUREAU, CARD, CARDS, CREDITS, INSTALLMENTS, LOANS, MONTHS, PAYMENTS, POS, PREVIOUS
 from test_metrics import applications
 
-from cairn.operators import previous
 from cairn.runs import build, config, experiments
 from cairn.sources.tables import TABLES, MissingTable
 
@@ -38,17 +37,10 @@ def test_build_and_cache(spark, tmp_path):
     assert build.main([str(tmp_path / "nowhere"), str(tmp_path / "out2")]) == 2
 
 
-def test_experiments(spark, tmp_path):
+def test_baseline(spark, tmp_path):
     paths, df = config.Paths(tmp_path), applications(spark, 300).cache()
     base = experiments.run_baseline(df, config.QUICK, paths)
     assert base["converged"] and base["metrics_test"]["n"] == 60 and json.loads(paths.metrics("baseline").read_text())["metrics_train"]["n"] == 240
     experiments.verify_reference(base["metrics_test"], dict(base["metrics_test"]))
     with pytest.raises(ValueError):
         experiments.verify_reference(base["metrics_test"], base["metrics_test"] | {"roc_auc": 0.0})
-    found = experiments.run_challengers(df, config.QUICK, paths)
-    assert {r["model"] for r in found["metrics"]} == {"logistic_regression", "boosted_trees"} and len(found["differences"]) == 4 and paths.trials.exists()
-    rows = [(i, 100000 + i % 300, *r[2:]) for i, r in enumerate(APPLIED * 100)]
-    tables = {"previous": previous.build(spark.createDataFrame(rows, PREVIOUS))}
-    final = experiments.run_relational(df, tables, config.QUICK, paths)
-    assert final["retained"] == ["previous"] and set(final["records"]) == {"M0_application", "M1_+previous"}
-    assert experiments.run_relational(df, tables, config.QUICK, paths, resume=True)["records"].keys() == final["records"].keys()
