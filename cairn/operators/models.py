@@ -10,6 +10,7 @@ import json
 import time
 from dataclasses import dataclass, field, replace
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -51,11 +52,32 @@ class LinearModel:
 AXES = (("max_depth", (3, 4, 6)), ("min_instances", (1, 10, 100)), ("column_share", (0.3, 0.5, 0.8)), ("row_share", (0.6, 0.8, 1.0)), ("learning_rate", (0.02, 0.05)))
 
 
+#: Rounds without a lower validation loss after which boosting stops.
+PATIENCE = 100
+
+
+def early_stop(losses: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """The number of trees with the least loss until ``patience`` rounds bring none lower, and whether that many did; ties to fewer trees."""
+    best = 0
+    for n, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = n
+        elif n - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    java, jvm = model._java_obj, SparkContext._active_spark_context._jvm
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures(), java.numClasses())
+    return GBTClassificationModel(made)
+
+
 @dataclass(frozen=True)
 class ChallengerSpec:
-    """An immutable choice of parameters and preprocessing."""
+    """An immutable choice of parameters and preprocessing. ``rounds`` is the cap of a fit that stops early, and the number of trees of any other."""
 
-    rounds: int = 50
+    rounds: int = 5000
     params: tuple = (("max_depth", 4), ("min_instances", 10), ("column_share", 0.5), ("row_share", 0.8), ("learning_rate", 0.1))
     heavy_tail: str = "none"
     missing_indicators: str = "deduplicated"
@@ -93,20 +115,40 @@ class Challenger:
         vectors = rows.select(self.id_column, array_to_vector(F.array(*cells)).alias("features"))
         return vectors if not keep else vectors.join(df.select(self.id_column, *keep), self.id_column)
 
-    def fit(self, df: DataFrame) -> Challenger:
+    def fit(self, df: DataFrame, validation: DataFrame | None = None, patience: int = PATIENCE) -> Challenger:
+        """With validation rows, boosting goes on until their loss has not improved for ``patience`` rounds, and the trees of the least loss are kept.
+
+        Spark's booster stops at the first round that gains too little and cannot go on from a model, so it is fitted anew
+        with twice the trees until patience ends it or the cap is reached.
+        """
         began, p = time.time(), dict(self.spec.params)
         self.preprocessor = TreePreprocessor(heavy_tail=self.spec.heavy_tail, missing_indicators=self.spec.missing_indicators, id_column=self.id_column).fit(df.drop(self.target))
         self.fill = -1e9
-        rows = self._vectors(df, (self.target,)).withColumn("label", F.col(self.target).cast("double")).cache()
+        rows = self._labelled(df).cache()
         levels = max([2, *(len(v) for v in self.preprocessor.levels.values())])
         booster = GBTClassifier(
             maxIter=self.spec.rounds, maxDepth=p["max_depth"], minInstancesPerNode=p["min_instances"], featureSubsetStrategy=str(p["column_share"]), subsamplingRate=p["row_share"], stepSize=p["learning_rate"], seed=self.spec.seed, maxBins=max(32, levels),
         )
-        self.model: GBTClassificationModel = booster.fit(rows.select("features", "label"))
+        self.early_stopped = False
+        if validation is None:
+            self.model: GBTClassificationModel = booster.fit(rows)
+        else:
+            watched, n = self._labelled(validation).cache(), min(self.spec.rounds, 2 * patience)
+            while True:
+                self.model = booster.setMaxIter(n).fit(rows)
+                best, self.early_stopped = early_stop(self.model.evaluateEachIteration(watched), patience)
+                if self.early_stopped or n == self.spec.rounds:
+                    break
+                n = min(self.spec.rounds, 2 * n)
+            watched.unpersist()
+            self.model = first_trees(self.model, best)
         rows.unpersist()
         self.seconds = time.time() - began
         return self
 
+    def _labelled(self, df: DataFrame) -> DataFrame:
+        return self._vectors(df, (self.target,)).select("features", F.col(self.target).cast("double").alias("label"))
+
     @property
     def n_trees(self) -> int:
         return self.model.getNumTrees
@@ -118,11 +160,9 @@ class Challenger:
     def best_rounds(self, validation: DataFrame) -> tuple[int, list[float]]:
         """The number of trees with the least validation loss, and the loss after each; ties to fewer trees.
 
-        The cap is fitted once and every prefix scored, which finds the same round as patience does if the loss does
-        not fall again after it.
+        Every prefix of the fitted model is scored.
         """
-        rows = self._vectors(validation, (self.target,)).withColumn("label", F.col(self.target).cast("double"))
-        losses = self.model.evaluateEachIteration(rows.select("features", "label"))
+        losses = self.model.evaluateEachIteration(self._labelled(validation))
         return min(range(len(losses)), key=losses.__getitem__) + 1, losses
 
     def importance(self, source_of) -> list[dict]:

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import pyspark
 
-from cairn.operators.models import AXES
+from cairn.operators.models import AXES, PATIENCE
 from cairn.sources.tables import ID, TARGET
 
 
@@ -21,7 +21,8 @@ class RunConfig:
     bins: int = 10
     replicates: int = 1000
     validation_replicates: int = 500
-    rounds: int = 50
+    rounds: int = 5000
+    patience: int = PATIENCE
     min_gain: float = 5e-4
     axes: tuple = AXES
     id_column: str = ID
@@ -32,7 +33,7 @@ class RunConfig:
 
 
 #: A grid that ends in seconds, for smoke runs.
-QUICK = RunConfig(replicates=10, validation_replicates=10, rounds=3, axes=(("max_depth", (2, 4)),))
+QUICK = RunConfig(replicates=10, validation_replicates=10, rounds=3, patience=10, axes=(("max_depth", (2, 4)),))
 
 
 @dataclass(frozen=True)

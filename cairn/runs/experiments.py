@@ -63,17 +63,25 @@ def verify_reference(recorded: dict, again: dict, tolerance: float = 1e-6) -> No
         raise ValueError(f"the reloaded reference differs: {far}")
 
 
+def evaluator(fit: DataFrame, valid: DataFrame, config: RunConfig):
+    """spec -> the validation loss at its best round, that round, and whether patience ended the fit before the cap."""
+
+    def evaluate(spec: ChallengerSpec) -> dict:
+        model = Challenger(spec, config.id_column, config.target).fit(fit, valid, config.patience)
+        return {"val_log_loss": log_loss_of(model.predict(valid), valid, config.id_column, config.target), "n_trees": model.n_trees, "early_stopped": model.early_stopped}
+
+    return evaluate
+
+
 def select_challenger(train: DataFrame, config: RunConfig, log: selection.TrialLog) -> tuple[ChallengerSpec, dict]:
     """Search and ablations on the training part alone, split once more; the number of rounds is locked last."""
     inner = stratified_split(train, config.validation_size, config.seed, config.id_column, config.target)
     fit, valid = (train.join(inner.where(F.col("split") == s), config.id_column).drop("split").cache() for s in ("train", "test"))
-    make = lambda spec: Challenger(spec, config.id_column, config.target)
-    evaluate = lambda spec: {"val_log_loss": log_loss_of(make(spec).fit(fit).predict(valid), valid, config.id_column, config.target)}
+    evaluate = evaluator(fit, valid, config)
     best, record = selection.coordinate_search(ChallengerSpec(rounds=config.rounds, seed=config.seed), config.axes, evaluate, log)
     tails = {t: ChallengerSpec(best.rounds, best.params, t, best.missing_indicators, best.seed) for t in ("log1p", "winsorize")}
     best, record, _ = selection.adopt_variant(best, record, tails, evaluate, log, "heavy_tail", config.min_gain)
-    rounds, _ = make(best).fit(fit).best_rounds(valid)
-    return best.locked(rounds), record
+    return best.locked(record["n_trees"]), record
 
 
 def final_stage(df: DataFrame, train: DataFrame, test: DataFrame, spec: ChallengerSpec, config: RunConfig, paths: Paths, name: str) -> dict:
@@ -121,7 +129,7 @@ def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfi
     def evaluate(subset: tuple[str, ...]) -> DataFrame:
         name = selection.config_name(subset, sources)
         if name not in predictions:
-            model = Challenger(spec, key, target).fit(fit.select(*columns(subset)))
+            model = Challenger(spec, key, target).fit(fit.select(*columns(subset)), None if held else valid, config.patience)
             predictions[name] = scored(model.predict(valid), valid, config).cache()
             if name not in records:
                 row = metrics.metric_table(metrics.as_model(predictions[name], name), ["model"], config.bins).first().asDict()

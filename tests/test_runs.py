@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from test_features import APPLIED, BUREAU, CARD, CARDS, CREDITS, INSTALLMENTS, LOANS, MONTHS, PAYMENTS, POS, PREVIOUS
 from test_metrics import applications
 
+from cairn.operators.models import Challenger, ChallengerSpec, early_stop, log_loss_of
 from cairn.runs import build, config, experiments
 from cairn.sources.tables import TABLES, MissingTable
 
@@ -44,3 +46,18 @@ def test_baseline(spark, tmp_path):
     experiments.verify_reference(base["metrics_test"], dict(base["metrics_test"]))
     with pytest.raises(ValueError):
         experiments.verify_reference(base["metrics_test"], base["metrics_test"] | {"roc_auc": 0.0})
+
+
+def test_boosting_goes_on_until_patience_ends_it(spark):
+    assert (config.RunConfig().rounds, config.RunConfig().patience, ChallengerSpec().rounds) == (5000, 100, 5000)
+    assert early_stop([3.0, 2.0, 2.5, 2.0, 1.0], 2) == (2, True) and early_stop([3.0, 2.0, 2.5, 1.0], 2) == (4, False)
+    df = applications(spark, 400).withColumn("TARGET", F.expr("cast((coalesce(EXT_SOURCE_1, 0.6) > 0.5) <> (SK_ID_CURR % 11 = 0) as int)")).cache()
+    train, valid = (df.where(f"SK_ID_CURR % 4 {op} 0").cache() for op in ("<>", "="))
+    spec = ChallengerSpec(rounds=400).with_params(learning_rate=0.1, max_depth=2)
+    model = Challenger(spec).fit(train, valid, patience=4)
+    whole = Challenger(spec.locked(model.n_trees + 4)).fit(train)
+    best, losses = whole.best_rounds(valid)
+    assert model.early_stopped and model.n_trees == best > 8 and early_stop(losses, 4) == (best, True)
+    assert log_loss_of(model.predict(valid), valid) == pytest.approx(losses[best - 1] / 2, abs=1e-9)
+    capped = Challenger(spec.locked(5)).fit(train, valid, patience=4)
+    assert capped.n_trees == 5 and not capped.early_stopped
