@@ -52,6 +52,9 @@ class LinearModel:
 AXES = (("max_depth", (3, 4, 6)), ("min_instances", (1, 10, 100)), ("column_share", (0.3, 0.5, 0.8)), ("row_share", (0.6, 0.8, 1.0)), ("learning_rate", (0.02, 0.05)))
 
 
+#: Axes of the retuning on the retained sources; the share of rows stands in for the L2 penalty that the booster lacks.
+RETUNE_AXES = (("max_depth", (4, 5)), ("min_instances", (100, 500)), ("column_share", (0.3, 0.5)), ("row_share", (0.6, 0.8)))
+
 #: Rounds without a lower validation loss after which boosting stops.
 PATIENCE = 100
 

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import pyspark
 
-from cairn.operators.models import AXES, PATIENCE
+from cairn.operators.models import AXES, PATIENCE, RETUNE_AXES
 from cairn.sources.tables import ID, TARGET
 
 
@@ -25,6 +25,7 @@ class RunConfig:
     patience: int = PATIENCE
     min_gain: float = 5e-4
     axes: tuple = AXES
+    retune_axes: tuple = RETUNE_AXES
     id_column: str = ID
     target: str = TARGET
 
@@ -33,7 +34,7 @@ class RunConfig:
 
 
 #: A grid that ends in seconds, for smoke runs.
-QUICK = RunConfig(replicates=10, validation_replicates=10, rounds=3, patience=10, axes=(("max_depth", (2, 4)),))
+QUICK = RunConfig(replicates=10, validation_replicates=10, rounds=3, patience=10, axes=(("max_depth", (2, 4)),), retune_axes=(("max_depth", (2, 4)),))
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,9 @@ class Paths:
     def metrics(self, name: str) -> Path:
         return self.root / "metrics" / f"{name}.json"
 
+    def model(self, name: str) -> str:
+        return str(self.root / "models" / name)
+
     def report(self, name: str) -> str:
         return str(self.root / "reports" / name)
 
@@ -67,6 +71,10 @@ class Paths:
     def trials(self) -> Path:
         return self.root / "trials.csv"
 
+    @property
+    def retune_trials(self) -> Path:
+        return self.root / "retune_trials.csv"
+
     @property
     def lock(self) -> Path:
         return self.root / "locked.json"

@@ -11,11 +11,13 @@ import sys
 import time
 from pathlib import Path
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import assemble, metrics, selection
 from cairn.operators.models import Challenger, ChallengerSpec, LinearModel, log_loss_of
+from cairn.operators.preprocessing import LinearPreprocessor
 from cairn.operators.provenance import content_digest, fingerprint, load_checkpoint, save_checkpoint
 from cairn.operators.quality import validate
 from cairn.operators.split import frozen_split, stratified_split
@@ -39,13 +41,18 @@ def membership(df: DataFrame, config: RunConfig, paths: Paths) -> DataFrame:
     return stored.select(F.col(config.id_column).cast(df.schema[config.id_column].dataType).alias(config.id_column), "split")
 
 
+#: What a fitted ``LinearPreprocessor`` has learned.
+PREPROCESSOR = ("numeric", "categorical", "medians", "gappy", "scale", "levels", "features")
+
+
 def run_baseline(df: DataFrame, config: RunConfig, paths: Paths) -> dict:
     """Validation report, frozen split, logistic regression, metrics of both parts, curves, model."""
     began = time.time()
     publish_json(validate(df, config.target, config.id_column), paths.metrics("data_validation"))
     train, test = (part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target))
     model = LinearModel(id_column=config.id_column, target=config.target).fit(train)
-    model.model.write().overwrite().save(str(paths.root / "models" / "logistic_regression"))
+    model.model.write().overwrite().save(paths.model("logistic_regression"))
+    publish_json({name: getattr(model.preprocessor, name) for name in PREPROCESSOR}, paths.metrics("baseline_preprocessor"))
     parts = {name: scored(model.predict(rows), rows, config).cache() for name, rows in (("train", train), ("test", test))}
     out = {f"metrics_{name}": metrics.metric_bundle(p, config.bins) for name, p in parts.items()} | {"converged": model.converged, "iterations": model.iterations, "fit_seconds": round(model.seconds, 1), "config": config.to_dict(), "run": run_metadata(began)}
     publish_json(out, paths.metrics("baseline"))
@@ -63,6 +70,31 @@ def verify_reference(recorded: dict, again: dict, tolerance: float = 1e-6) -> No
         raise ValueError(f"the reloaded reference differs: {far}")
 
 
+def reload_baseline(config: RunConfig, paths: Paths) -> LinearModel:
+    """The model that ``run_baseline`` left."""
+    model, held = LinearModel(id_column=config.id_column, target=config.target), json.loads(paths.metrics("baseline_preprocessor").read_text())
+    held["scale"] = {c: tuple(held["scale"][c]) for c in held["features"][: len(held["scale"])]}  # JSON has keys in another order
+    model.preprocessor = LinearPreprocessor(id_column=config.id_column)
+    for name, value in held.items():
+        setattr(model.preprocessor, name, value)
+    model.model = LogisticRegressionModel.load(paths.model("logistic_regression"))
+    return model
+
+
+def reference_verified(train: DataFrame, test: DataFrame, config: RunConfig, paths: Paths) -> dict:
+    """Scores test with the recorded baseline, reloaded or else fitted again, and raises if that is not what was recorded. Nothing to verify if no baseline was recorded."""
+    if not paths.metrics("baseline").exists():
+        return {"recorded": False}
+    recorded = json.loads(paths.metrics("baseline").read_text())["metrics_test"]
+    reloaded = paths.metrics("baseline_preprocessor").exists()
+    model = reload_baseline(config, paths) if reloaded else LinearModel(id_column=config.id_column, target=config.target).fit(train)
+    again = metrics.metric_table(metrics.as_model(scored(model.predict(test), test, config)), ["model"], config.bins).first().asDict()
+    if recorded["n"] != again["n"]:
+        raise ValueError(f"the recorded reference was scored on {recorded['n']} rows, not {again['n']}")
+    verify_reference(recorded, again, 1e-6 if reloaded else 1e-3)
+    return {"recorded": True, "reloaded": reloaded, "metrics": {m: again[m] for m in metrics.BOOTSTRAP_METRICS}}
+
+
 def evaluator(fit: DataFrame, valid: DataFrame, config: RunConfig):
     """spec -> the validation loss at its best round, that round, and whether patience ended the fit before the cap."""
 
@@ -104,16 +136,34 @@ def final_stage(df: DataFrame, train: DataFrame, test: DataFrame, spec: Challeng
 def run_challengers(df: DataFrame, config: RunConfig, paths: Paths, name: str = "boosted_trees") -> dict:
     began = time.time()
     train, test = (part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target))
+    reference = reference_verified(train, test, config, paths)
     spec, record = select_challenger(train, config, selection.TrialLog(paths.trials))
     publish_json({"spec": spec.to_dict(), "validation": record, "config": config.to_dict()}, paths.lock)
-    return final_stage(df, train, test, spec, config, paths, name) | {"run": run_metadata(began)}
+    return final_stage(df, train, test, spec, config, paths, name) | {"reference": reference, "run": run_metadata(began)}
+
+
+def retune(fit: DataFrame, valid: DataFrame, spec: ChallengerSpec, config: RunConfig, paths: Paths, context: dict, resume: bool = False) -> tuple[ChallengerSpec, dict]:
+    """A small search from ``spec`` on the retained columns, with the rounds free again and locked last. Trials done by a run that stopped are not fitted again."""
+    checkpoint = paths.root / "retune_checkpoint.json"
+    found = (load_checkpoint(checkpoint, context, []) if resume else None) or {}
+    fresh = evaluator(fit, valid, config)
+
+    def evaluate(trial: ChallengerSpec) -> dict:
+        if trial.key() not in found:
+            found[trial.key()] = fresh(trial)
+            save_checkpoint(checkpoint, context, [], found)
+        return found[trial.key()]
+
+    best, record = selection.coordinate_search(spec.locked(config.rounds), config.retune_axes, evaluate, selection.TrialLog(paths.retune_trials))
+    return best.locked(record["n_trees"]), record
 
 
 def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfig, paths: Paths, resume: bool = False) -> dict:
-    """Ablation grid on the inner split, backward elimination, then the final model of the retained sources. A run that stops goes on at the last configuration done."""
+    """Ablation grid on the inner split, backward elimination, retuning on the retained sources, then their final model. A run that stops goes on at the last configuration done."""
     began, sources, key, target = time.time(), tuple(tables), config.id_column, config.target
     matrix = assemble.build_matrix(df.drop(target), tables, key).join(df.select(key, target), key).cache()
     train, test = (part.cache() for part in frozen_split(matrix, membership(df, config, paths), config.test_size, config.seed, key, target))
+    reference = reference_verified(*(part.select(*df.columns) for part in (train, test)), config, paths)
     inner = stratified_split(train, config.validation_size, config.seed, key, target)
     fit, valid = (train.join(inner.where(F.col("split") == s), key).drop("split").cache() for s in ("train", "test"))
     held = json.loads(paths.lock.read_text()) if paths.lock.exists() else None
@@ -148,9 +198,13 @@ def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfi
     write_report(df.sparkSession.createDataFrame([{"name": n, "log_loss": float(r["log_loss"]), "roc_auc": float(r["roc_auc"]), "n_features": int(r["n_features"])} for n, r in records.items()]), paths.report("ablation"), ["name"])
     kept = selection.backward_elimination(sources, cost)
     retained = columns(tuple(kept["retained"]))
-    publish_json({"spec": spec.to_dict(), "retained": kept["retained"], "rounds": kept["rounds"]}, paths.metrics("relational_selection"))
-    final = final_stage(matrix, train.select(*retained), test.select(*retained), spec, config, paths, "boosted_trees_relational")
-    return final | {"retained": kept["retained"], "records": records, "run": run_metadata(began)}
+    chosen = {"spec": spec.to_dict(), "retained": kept["retained"], "rounds": kept["rounds"]}
+    publish_json(chosen, paths.metrics("relational_selection"))
+    tuned, record = retune(fit.select(*retained), valid.select(*retained), spec, config, paths, context | {"retained": kept["retained"]}, resume)
+    chosen["retune"] = {"locked": tuned.to_dict(), "validation": record, "axes": config.retune_axes}
+    publish_json(chosen, paths.metrics("relational_selection"))
+    final = final_stage(matrix, train.select(*retained), test.select(*retained), tuned, config, paths, "boosted_trees_relational")
+    return final | {"retained": kept["retained"], "reference": reference, "retune": chosen["retune"], "records": records, "run": run_metadata(began)}
 
 
 def main(args: list[str] | None = None) -> int:

@@ -61,3 +61,22 @@ def test_boosting_goes_on_until_patience_ends_it(spark):
     assert log_loss_of(model.predict(valid), valid) == pytest.approx(losses[best - 1] / 2, abs=1e-9)
     capped = Challenger(spec.locked(5)).fit(train, valid, patience=4)
     assert capped.n_trees == 5 and not capped.early_stopped
+
+
+def test_relational_retunes_and_verifies_the_baseline(spark, tmp_path, monkeypatch):
+    paths, df = config.Paths(tmp_path), applications(spark, 200).cache()
+    base = experiments.run_baseline(df, config.QUICK, paths)
+    history = df.select("SK_ID_CURR", (F.col("SK_ID_CURR") % 7).cast("float").alias("pos__count"))
+    tried = []
+    loss = {2: 0.5, 4: 0.4}
+    monkeypatch.setattr(experiments, "evaluator", lambda fit, valid, config: lambda spec: tried.append((spec.rounds, spec.get("max_depth"), "pos__count" in fit.columns)) or {"val_log_loss": loss[spec.get("max_depth")], "n_trees": 2, "early_stopped": True})
+    monkeypatch.setattr(experiments, "final_stage", lambda df, train, test, spec, *more: {"spec": spec.to_dict()})
+    monkeypatch.setattr(experiments.selection, "ablation_configs", lambda sources: [("M0_application", "sequential", ())])
+    out = experiments.run_relational(df, {"pos": history}, config.QUICK, paths)
+    assert out["reference"]["reloaded"] and out["reference"]["metrics"]["log_loss"] == pytest.approx(base["metrics_test"]["log_loss"], abs=1e-9)
+    assert tried == [(3, 4, True), (3, 2, True)] and out["spec"] == json.loads(paths.metrics("relational_selection").read_text())["retune"]["locked"] and out["spec"]["rounds"] == 2
+    recorded = json.loads(paths.metrics("baseline").read_text())
+    recorded["metrics_test"]["roc_auc"] += 1e-4
+    paths.metrics("baseline").write_text(json.dumps(recorded))
+    with pytest.raises(ValueError, match="differs"):
+        experiments.run_relational(df, {"pos": history}, config.QUICK, paths)
