@@ -155,6 +155,16 @@ def q_audit_payment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_installments(view(spark, sf_dir, "installments"))["ratio"]
 
 
+@query(f"WITH {ctes('installments_all')}, d AS (SELECT *, DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT AS late FROM installments_all) SELECT avg(late) AS mean, CAST(quantile_cont(late, 0.5) AS DOUBLE) AS median, avg(CASE WHEN late > 0 THEN 1 ELSE 0 END) AS share_late, avg(CASE WHEN late > 30 THEN 1 ELSE 0 END) AS share_severe, max(late) AS max FROM d")
+def q_audit_lateness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_installments(view(spark, sf_dir, "installments_all"))["lateness"]
+
+
+@query(f"WITH {ctes('installments_all')} SELECT quantile_cont(r, 0.5) AS median, avg(CASE WHEN r < 0.99 THEN 1 ELSE 0 END) AS share_under, avg(CASE WHEN r > 1.01 THEN 1 ELSE 0 END) AS share_over, count(*) FILTER (AMT_INSTALMENT = 0) AS zero_scheduled FROM (SELECT *, CASE WHEN AMT_INSTALMENT > 0 THEN AMT_PAYMENT / AMT_INSTALMENT END AS r FROM installments_all)")
+def q_audit_payment_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_installments(view(spark, sf_dir, "installments_all"))["ratio"]
+
+
 @query(f"WITH {ctes('credit_card')} SELECT count(*) FILTER (AMT_CREDIT_LIMIT_ACTUAL = 0) AS zero_limit, quantile_cont(u, 0.5) AS median, quantile_cont(u, 0.99) AS q99, avg(CASE WHEN u > 1 THEN 1 ELSE 0 END) AS share_over, max(u) AS max FROM (SELECT *, CASE WHEN AMT_CREDIT_LIMIT_ACTUAL > 0 THEN CASE WHEN AMT_BALANCE < 0 THEN 0 ELSE AMT_BALANCE END / AMT_CREDIT_LIMIT_ACTUAL END AS u FROM credit_card)")
 def q_audit_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_credit_card(view(spark, sf_dir, "credit_card"))["utilization"]

@@ -6,6 +6,7 @@ from cairn.operators import metrics as M
 from cairn.operators import quality, selection, split
 from cairn.operators.models import Challenger, ChallengerSpec, LinearModel
 from cairn.operators.preprocessing import LinearPreprocessor, TreePreprocessor, missing_groups
+from cairn.plans import QUERIES
 
 TIES = [(0, 0.1), (0, 0.3), (1, 0.3), (1, 0.8), (0, 0.2), (1, 0.9), (0, 0.3)]
 
@@ -176,3 +177,14 @@ def test_boosted_trees(spark):
     rounds, losses = model.best_rounds(df)
     assert losses[rounds - 1] == min(losses)
     assert sum(r["share"] for r in model.importance(lambda c: "application")) == pytest.approx(1)
+
+
+def test_audits_of_all_payments(spark, tmp_path):
+    """Payments after the anchor count, however late."""
+    spark.sql("SELECT 1 AS o_orderkey, 7 AS o_custkey, DATE '1998-12-01' AS o_orderdate UNION ALL SELECT 2, 8, DATE '1999-03-01'").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "SELECT {0} AS l_orderkey, {1} AS l_partkey, 1 AS l_suppkey, {0} AS l_linenumber, DATE '{2}' AS l_shipdate, {3} AS l_extendedprice"
+    spark.sql(" UNION ALL ".join(lines.format(*x) for x in ((1, 3, "1998-12-11", "100.0"), (1, 6, "1999-02-09", "100.0"), (2, 5, "1999-03-02", "50.0")))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    late = QUERIES["q_audit_lateness_all"](spark, str(tmp_path)).first()
+    assert (late["mean"], late["median"], late["share_late"], late["share_severe"], late["max"]) == (27.0, 10.0, 1.0, pytest.approx(1 / 3), 70)
+    ratio = QUERIES["q_audit_payment_ratio_all"](spark, str(tmp_path)).first()
+    assert (ratio["median"], ratio["share_under"], ratio["share_over"], ratio["zero_scheduled"]) == (1.0, pytest.approx(1 / 3), 0.0, 0)
