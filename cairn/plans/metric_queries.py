@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.operators import metrics
 from cairn.plans.registry import query
 from cairn.plans.views import ctes, view
+from cairn.runs.config import RunConfig
 
 SCORES = f"WITH {ctes('scores')} "
 BY = ["model"]
@@ -113,15 +114,23 @@ def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLICATES = 20
-BOOT = (
-    MODELS + ", ids AS (SELECT doc_id, y, row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 2), doc_id) - 1 AS row, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id, y FROM m)), "
-    f"draws AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || draw), 1, 12) AS BIGINT) % total AS row FROM (SELECT unnest(range({REPLICATES})) AS rep), (SELECT total, unnest(range(total)) AS draw FROM (SELECT max(total) AS total FROM ids))), "
-    "wt AS (SELECT rep, row, count(*) AS w FROM draws GROUP BY rep, row), s AS (SELECT rep, model, m.y, p, w FROM wt JOIN ids USING (row) JOIN m USING (doc_id)), "
-    "g AS (SELECT rep, model, p, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y = 0), 0) AS neg FROM s GROUP BY rep, model, p), "
-    "ranked AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp FROM g WINDOW d AS (PARTITION BY rep, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), "
-    "one AS (SELECT rep, model, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) AS average_precision FROM ranked GROUP BY rep, model), "
-    f"two AS (SELECT rep, model, sum(w * ({LOSS})) / sum(w) AS log_loss, sum(w * (p - y) * (p - y)) / sum(w) AS brier_score FROM s GROUP BY rep, model), reps AS (SELECT * FROM one JOIN two USING (rep, model))"
-)
+#: As in a run.
+WHOLE = RunConfig().replicates
+
+
+def _boot(replicates: int) -> str:
+    return (
+        MODELS + ", ids AS (SELECT doc_id, y, row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 2), doc_id) - 1 AS row, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id, y FROM m)), "
+        f"draws AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || draw), 1, 12) AS BIGINT) % total AS row FROM (SELECT unnest(range({replicates})) AS rep), (SELECT total, unnest(range(total)) AS draw FROM (SELECT max(total) AS total FROM ids))), "
+        "wt AS (SELECT rep, row, count(*) AS w FROM draws GROUP BY rep, row), s AS (SELECT rep, model, m.y, p, w FROM wt JOIN ids USING (row) JOIN m USING (doc_id)), "
+        "g AS (SELECT rep, model, p, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y = 0), 0) AS neg FROM s GROUP BY rep, model, p), "
+        "ranked AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp FROM g WINDOW d AS (PARTITION BY rep, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), "
+        "one AS (SELECT rep, model, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) AS average_precision FROM ranked GROUP BY rep, model), "
+        f"two AS (SELECT rep, model, sum(w * ({LOSS})) / sum(w) AS log_loss, sum(w * (p - y) * (p - y)) / sum(w) AS brier_score FROM s GROUP BY rep, model), reps AS (SELECT * FROM one JOIN two USING (rep, model))"
+    )
+
+
+BOOT = _boot(REPLICATES)
 
 
 @query(BOOT + " SELECT rep, model, round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision, round(log_loss, 9) AS log_loss, round(brier_score, 9) AS brier_score FROM reps")
@@ -148,6 +157,27 @@ def q_bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table.select("model", "base", "metric", "ci_low", "ci_high", "fraction_improving", "ci_excludes_zero"), 7)
 
 
+@query(_boot(WHOLE) + " SELECT rep, model, round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision, round(log_loss, 9) AS log_loss, round(brier_score, 9) AS brier_score FROM reps")
+def q_bootstrap_replicates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.bootstrap_replicates(models(spark, sf_dir), "doc_id", WHOLE, 42)
+    return _rounded(found.withColumn("rep", F.col("rep").cast("long")))
+
+
+@query(_boot(WHOLE) + LONG_REPS + " SELECT model, metric, round(quantile_cont(value, 0.025), 7) AS ci_low, round(quantile_cont(value, 0.975), 7) AS ci_high, round(avg(value), 7) AS bootstrap_mean, round(stddev_samp(value), 7) AS bootstrap_sd FROM l GROUP BY model, metric")
+def q_bootstrap_ci_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, _ = metrics.paired_bootstrap(models(spark, sf_dir), "doc_id", "a", WHOLE)
+    return _rounded(table.select("model", "metric", "ci_low", "ci_high", "bootstrap_mean", "bootstrap_sd"), 7)
+
+
+@query(
+    _boot(WHOLE) + LONG_REPS + ", d AS (SELECT metric, b.value - a.value AS value FROM l a JOIN l b USING (rep, metric) WHERE a.model = 'a' AND b.model = 'b'), s2 AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, "
+    "avg(CASE WHEN metric IN ('roc_auc', 'average_precision') THEN CAST(value > 0 AS INT) ELSE CAST(value < 0 AS INT) END) AS f FROM d GROUP BY metric) SELECT 'b' AS model, 'a' AS base, metric, round(lo, 7) AS ci_low, round(hi, 7) AS ci_high, round(f, 7) AS fraction_improving, lo > 0 OR hi < 0 AS ci_excludes_zero FROM s2"
+)
+def q_bootstrap_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, table = metrics.paired_bootstrap(models(spark, sf_dir), "doc_id", "a", WHOLE)
+    return _rounded(table.select("model", "base", "metric", "ci_low", "ci_high", "fraction_improving", "ci_excludes_zero"), 7)
+
+
 @query(SCORES + "SELECT count(*) AS n, count(*) FILTER (p IS NULL OR p < 0 OR p > 1) AS bad_p, count(*) FILTER (y NOT IN (0, 1)) AS bad_y FROM scores")
 def q_prediction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "scores")

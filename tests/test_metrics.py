@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from cairn.operators import metrics as M
@@ -188,3 +190,21 @@ def test_audits_of_all_payments(spark, tmp_path):
     assert (late["mean"], late["median"], late["share_late"], late["share_severe"], late["max"]) == (27.0, 10.0, 1.0, pytest.approx(1 / 3), 70)
     ratio = QUERIES["q_audit_payment_ratio_all"](spark, str(tmp_path)).first()
     assert (ratio["median"], ratio["share_under"], ratio["share_over"], ratio["zero_scheduled"]) == (1.0, pytest.approx(1 / 3), 0.0, 0)
+
+
+def test_whole_bootstrap_is_brute_force(spark, tmp_path):
+    docs = [(i, 40 + 13 * i % 97) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    ids = sorted(range(12), key=lambda i: (digest(str(i))[:2], i))
+    p = {i: (1 + n % 97) / 99 for i, n in docs}
+    loss, want = [-np.log(p[i] if i % 2 else 1 - p[i]) for i in ids], []
+    for rep in range(1000):
+        drawn = [int(digest(f"42:{rep}:{k}")[:12], 16) % 12 for k in range(12)]
+        one_class = len({ids[k] % 2 for k in drawn}) == 1
+        want.append(np.mean([loss[k] for k in (range(12) if one_class else drawn)]))
+    got = QUERIES["q_bootstrap_replicates_whole"](spark, str(tmp_path)).where("model = 'a'").orderBy("rep").collect()
+    assert [r.rep for r in got] == list(range(1000)) and np.allclose([r.log_loss for r in got], want, atol=1e-8)
+    ci = QUERIES["q_bootstrap_ci_whole"](spark, str(tmp_path)).where("model = 'a' AND metric = 'log_loss'").first()
+    assert (ci.ci_low, ci.ci_high) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])), abs=1e-6)
