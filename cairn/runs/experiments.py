@@ -105,14 +105,20 @@ def evaluator(fit: DataFrame, valid: DataFrame, config: RunConfig):
     return evaluate
 
 
+#: Variants that must gain on the challengers' start, which has none.
+MISSING_INDICATORS = ("all", "deduplicated")
+
+
 def select_challenger(train: DataFrame, config: RunConfig, log: selection.TrialLog) -> tuple[ChallengerSpec, dict]:
     """Search and ablations on the training part alone, split once more; the number of rounds is locked last."""
     inner = stratified_split(train, config.validation_size, config.seed, config.id_column, config.target)
     fit, valid = (train.join(inner.where(F.col("split") == s), config.id_column).drop("split").cache() for s in ("train", "test"))
     evaluate = evaluator(fit, valid, config)
-    best, record = selection.coordinate_search(ChallengerSpec(rounds=config.rounds, seed=config.seed), config.axes, evaluate, log)
+    best, record = selection.coordinate_search(ChallengerSpec(rounds=config.rounds, missing_indicators="none", seed=config.seed), config.axes, evaluate, log)
     tails = {t: ChallengerSpec(best.rounds, best.params, t, best.missing_indicators, best.seed) for t in ("log1p", "winsorize")}
     best, record, _ = selection.adopt_variant(best, record, tails, evaluate, log, "heavy_tail", config.min_gain)
+    gaps = {m: ChallengerSpec(best.rounds, best.params, best.heavy_tail, m, best.seed) for m in MISSING_INDICATORS}
+    best, record, _ = selection.adopt_variant(best, record, gaps, evaluate, log, "missing_indicators", config.min_gain)
     return best.locked(record["n_trees"]), record
 
 

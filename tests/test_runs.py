@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_features import APPLIED, BUREAU, CARD, CARDS, CREDITS, INSTALLMENTS, LOANS, MONTHS, PAYMENTS, POS, PREVIOUS
 from test_metrics import applications
 
+from cairn.operators import selection
 from cairn.operators.models import Challenger, ChallengerSpec, early_stop, log_loss_of
 from cairn.runs import build, config, experiments
 from cairn.sources.tables import TABLES, MissingTable
@@ -80,3 +81,12 @@ def test_relational_retunes_and_verifies_the_baseline(spark, tmp_path, monkeypat
     paths.metrics("baseline").write_text(json.dumps(recorded))
     with pytest.raises(ValueError, match="differs"):
         experiments.run_relational(df, {"pos": history}, config.QUICK, paths)
+
+
+def test_missing_indicators_must_gain(spark, monkeypatch):
+    for gain, want in ((4e-4, "none"), (6e-4, "all")):
+        loss = {"none": 0.5, "all": 0.5 - gain, "deduplicated": 0.6}
+        monkeypatch.setattr(experiments, "evaluator", lambda fit, valid, config, loss=loss: lambda spec: {"val_log_loss": loss[spec.missing_indicators], "n_trees": 2, "early_stopped": True})
+        log = selection.TrialLog()
+        spec, _ = experiments.select_challenger(applications(spark, 60), config.QUICK, log)
+        assert spec.missing_indicators == want and [r["about"] for r in log.records if r["stage"] == "ablation:missing_indicators"] == ["all", "deduplicated"]
