@@ -87,8 +87,8 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 class _Members:
     """The inflated bytes of one gzip member after another, in pieces."""
 
-    def __init__(self, read: Callable[[int], bytes]):
-        self.read, self.raw, self.unpacker, self.buffer = read, b"", None, b""
+    def __init__(self, read: Callable[[int], bytes], max_header: int | None = MAX_HEADER):
+        self.read, self.max_header, self.raw, self.unpacker, self.buffer = read, max_header, b"", None, b""
 
     def next_member(self) -> bool:
         self.raw = self.raw or self.read(PIECE)
@@ -113,13 +113,14 @@ class _Members:
         return b""
 
     def until(self, mark: bytes) -> bytes:
-        held = self.buffer
-        while (at := held.find(mark)) < 0:
-            if len(held) > MAX_HEADER or not (piece := self.more()):
+        held, sought = bytearray(self.buffer), 0
+        while (at := held.find(mark, sought)) < 0:
+            if (self.max_header is not None and len(held) > self.max_header) or not (piece := self.more()):
                 raise WarcError("no end of header")
+            sought = max(0, len(held) - len(mark) + 1)
             held += piece
-        self.buffer = held[at + len(mark) :]
-        return held[:at]
+        self.buffer = bytes(held[at + len(mark) :])
+        return bytes(held[:at])
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
@@ -149,9 +150,9 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def read_records(read: Callable[[int], bytes], keep_payload: bool = False) -> Iterator[Record]:
-    """The records of an archive in order. ``read(n)`` gives up to n raw bytes, none at the end."""
-    members = _Members(read)
+def read_records(read: Callable[[int], bytes], keep_payload: bool = False, max_header: int | None = MAX_HEADER) -> Iterator[Record]:
+    """The records of an archive in order. ``read(n)`` gives up to n raw bytes, none at the end. ``max_header``: None for archives of our own, whose urls have any length."""
+    members = _Members(read, max_header)
     while members.next_member():
         head = members.until(b"\r\n\r\n")
         if not head.startswith(b"WARC/"):
@@ -248,7 +249,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(path)
                 rows = []
                 with store.open_input_stream(at, compression=None) as stream:
-                    for r in read_records(stream.read):
+                    for r in read_records(stream.read, max_header=None):
                         revisit = r.headers.get("warc-refers-to")
                         rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), r.type, r.payload_bytes, r.payload_sha1, page_of(revisit) if revisit else None))
                         if len(rows) >= 5000:

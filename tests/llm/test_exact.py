@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -159,6 +160,15 @@ def test_warc_damage_is_found():
     assert len(list(warc.read_records(lambda n: one_byte.read(1)))) == 1
 
 
+def test_warc_url_of_several_mib(spark):
+    url = "http://a/" + "".join(random.Random(5).choices("abcdef ", k=3 << 20))
+    df = spark.createDataFrame([(1, url, "one"), (2, "http://b/", "two")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(df, shared.fresh_path(spark, "warc"))).collect()}
+    assert got[1].url == url.replace(" ", "%20") and got[1].payload_bytes == got[2].payload_bytes == 3
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(warc.make_record(1, url, b"one")).read))
+
+
 def test_warc_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(none, shared.fresh_path(spark, "warc"))).isEmpty()
