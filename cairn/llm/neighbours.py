@@ -30,7 +30,7 @@ from cairn.llm.shared import settle, table
 
 BLOCK, CHUNK, TREES, LEAF, SHARE, NEAREST = 32_768, 1024, 32, 64, 0.45, 20
 #: Candidates of a query in a block, at least.
-FLOOR = 2000
+FLOOR = 4000
 
 
 class Forest:

@@ -129,3 +129,16 @@ def test_pipeline(spark, tmp_path):
     assert seen["benchmark_decontamination"] == sorted(clean)
     assert seen["sharding"] == seen["mixing"] and set(seen["mixing"]) <= clean and max(map(seen["mixing"].count, set(seen["mixing"]))) <= 2
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+
+
+def test_recall_where_the_floor_stops_helping():
+    rng = np.random.default_rng(0)
+    for n in (4450, 6000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids, asked, hit = np.arange(n), np.arange(0, n, n // 50), 0
+        for at, found, _ in neighbours.Forest(x).search(x[asked], ids, asked, 20, neighbours.SHARE):
+            scores = x @ x[asked[at]]
+            scores[asked[at]] = -np.inf
+            hit += len(set(np.argsort(-scores)[:20]) & set(found))
+        assert hit / (20 * len(asked)) >= 0.95
