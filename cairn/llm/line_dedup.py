@@ -2,230 +2,240 @@
 
 A line is the set of its words. A line is removed if an earlier line of the corpus, in order of doc_id, text hash and
 line number, has the same set or one of Jaccard similarity ``SIMILARITY`` or more; whether that line is itself removed
-does not matter. The words of a set are ordered by rarity, rarest first. Two similar sets share a word within their
-prefixes (the first ``n - ceil(0.8 n) + 1`` words), so prefixes are posted under their words and only lines that meet
-there are compared: by length, by what the positions of the shared word leave possible, and by a parity bitmap whose
-distance never exceeds the difference of the sets. Pairs that pass are verified on the whole sets.
-
-Rarity is exact counting over the whole corpus in ``2 ** COUNT_BITS`` hashed cells, a table of fixed size: the order
-is the same for all lines, which is all that exactness asks for. Equal sets are one key before anything is joined. The
-lines of a word's group meet pairwise where there are up to ``SMALL`` of them; in larger groups all lines meet the
+does not matter. Lines of equal content (by SHA-256, cut to 128 bits) are one line before anything is split into words.
+The words of a line are ordered by rarity, rarest first. Two similar sets share a word within their prefixes (the first
+``n - ceil(0.8 n) + 1`` words), so prefixes are posted under their words and only lines that meet there are compared: by
+length, by what the positions of the shared word leave possible, and by a parity bitmap whose distance never exceeds
+the difference of the sets. Pairs that pass are verified on their words, not on hashes.
+
+Up to that point a word is a token of ``TOKEN_BITS`` bits, and a line holds a token for each distinct word, so that words
+that share a token can only make two lines look more alike: sizes, prefixes, positions and bitmaps let through every
+pair that is similar, whatever the tokens. Rarity is exact counting over all lines in ``2 ** CELL_BITS`` cells of tokens, a
+table of fixed size: the order is the same for all lines, which is all that exactness asks for.
+
+The lines of a word's group meet pairwise where there are up to ``SMALL`` of them; in larger groups all lines meet the
 earliest one, and only those still not removed then meet all others. So the many variants of one line are settled by
 their first one, and no table holds the pairs of such a group.
 
+Lines that are not the first of their content are kept from being split by a Bloom filter of the first ones' places. What
+it lets through by mistake takes part as a line of its own, which changes nothing; beyond ``MAX_BITS`` a join does the same.
+
 Defined cases: null text is one empty line; lines without words are always kept; rows that share doc_id and text are
 one document for the order and get equal results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import settle, table, text_or_empty
+from cairn.llm.shared import settle, table, text_or_empty, unused
 from cairn.llm.url_filters import MAX_BITS, build_filter, holds
 
 #: Similarity as a fraction: 4 / 5.
 SIMILARITY = (4, 5)
-COUNT_BITS, SMALL = 20, 512
-COUNT_TOP, HASH_BITS = 2**24 - 1, 39
+TOKEN_BITS, CELL_BITS, SMALL = 31, 21, 2048
+COUNT_TOP = 2**24 - 1
 #: Words beyond which the parity bitmap has 128 bits; its two halves together are the 64-bit one.
-LONG = 60
-#: What is known of a line where it is posted.
-SEEN = ("k", "size", "at", "bitmap")
+LONG = 80
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same but for the space, which then parts the words.
+NOT_SPACE = r"[\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]+"
+HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+PLACE = ("doc_id", "text_key", "line_no")
+#: What is known of a line where it is posted.
+SEEN = ("id", "doc", "n", "at", "low", "high")
+#: Share of keys that the Bloom filters here let through by mistake.
+RATE = 1 / 8
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line as 64-bit hashes; what stands before a leading or after a last separator is no word."""
-    hashes = F.transform(F.split(F.lower(line), SEPARATORS), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+def split_words(line: Column) -> Column:
+    """The words of a line, repeated ones too, and perhaps empty strings."""
+    return F.split(F.regexp_replace(F.lower(line), NOT_SPACE, " "), " ")
 
 
-def lines_of(docs: DataFrame, content: str = "words") -> DataFrame:
-    """doc_id, text_key, line_no, and the ``line`` or the hashes of its distinct lower-case ``words``."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, line."""
     text = text_or_empty()
-    lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines if content == "line" else lines.select("doc_id", "text_key", "line_no", words_of(F.col("line")).alias("words"))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def place_hash(of: str = "") -> Column:
-    return F.xxhash64(*[F.col(f"{of}{c}") for c in ("doc_id", "text_key", "line_no")])
+def place(of: str = "") -> Column:
+    return F.struct(*[F.col(f"{of}{c}").alias(c) for c in PLACE])
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """One row: an array of how often the words of each cell stand in all texts."""
-    spark, cells = docs.sparkSession, 2**COUNT_BITS
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty()), SEPARATORS)).alias("word")).where("word <> ''")
-    seen = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"))
-    every = seen.unionByName(spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = F.shiftleft("cell", 24).bitwiseOR(F.least("n", F.lit(COUNT_TOP)))
-    row = every.agg(F.sort_array(F.collect_list(packed)).alias("cells"))
-    return settle(row.select(F.transform("cells", lambda c: c.bitwiseAND(F.lit(COUNT_TOP)).cast("int")).alias("counts")), "word-counts")
+def place_hash(of: str = "") -> Column:
+    return F.xxhash64(*[F.col(f"{of}{c}") for c in PLACE])
 
 
-def ranked(lines: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("doc_id", "text_key", "line_no")) -> DataFrame:
-    """The columns to keep, and ``ranks``: a number for each word, sorted, that starts with its count and ends with its hash."""
-    def rank(h: Column) -> Column:
-        count = F.get("_counts", h.bitwiseAND(F.lit(2**COUNT_BITS - 1)).cast("int")).cast("long")
-        tail = F.shiftrightunsigned(h, COUNT_BITS).bitwiseAND(F.lit(2**HASH_BITS - 1))
-        return F.shiftleft(count, HASH_BITS).bitwiseOR(tail)
+def found_at(lines: DataFrame, places: DataFrame, n: int, level: int) -> tuple[DataFrame, bool]:
+    """Those of ``lines`` whose place is among ``places`` (a struct ``first``), and whether that is exact; a Bloom filter may let others through."""
+    if n * -math.log(RATE) / math.log(2) ** 2 > MAX_BITS:
+        wanted = places.select(place_hash("first.").alias("_at"), F.col("first").alias("_first")).distinct()
+        return lines.join(wanted, (place_hash() == F.col("_at")) & place().eqNullSafe(F.col("_first"))).drop("_at", "_first"), True
+    bloom = build_filter(places.select(place_hash("first.").alias("at")), "at", level, max(1, n), RATE)
+    return lines.where(holds(place_hash(), bloom, bloom["words"].scalar())), False
 
-    lines = lines.withColumn("_counts", counts.scalar())
-    return lines.select(*keep, F.sort_array(F.transform("words", rank)).alias("ranks"))
 
+def tokens_of(lines: DataFrame) -> DataFrame:
+    """id, place and tokens (one for each distinct word) of lines that have words."""
+    words = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    tokens = F.transform(words, lambda h: h.bitwiseAND(F.lit(2**TOKEN_BITS - 1)).cast("int"))
+    return settle(lines.select(F.monotonically_increasing_id().alias("id"), place().alias("first"), tokens.alias("tokens")), "line-tokens")
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """With k and k2, which together name a set; null for lines without words."""
-    some = F.size("ranks") > 0
-    return rows.withColumns({"k": F.when(some, F.xxhash64("ranks")), "k2": F.when(some, F.xxhash64(F.lit(1), "ranks"))})
 
+def count_tokens(tokens: DataFrame) -> DataFrame:
+    """One row: an array of how many lines hold the tokens of each cell. Its pieces of 2 ** 12 cells are made side by side."""
+    spark, bits = tokens.sparkSession, min(CELL_BITS, TOKEN_BITS)
+    seen = tokens.select(F.explode("tokens").alias("t")).select(F.col("t").bitwiseAND(F.lit(2**bits - 1)).alias("cell"), F.lit(1).alias("n"))
+    every = seen.unionByName(spark.range(2**bits).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
+    packed = F.shiftleft(F.col("cell").cast("long"), 24).bitwiseOR(F.least("n", F.lit(COUNT_TOP)))
+    pieces = every.groupBy(F.shiftright("cell", 12).alias("piece")).agg(F.sort_array(F.collect_list(packed)).alias("cells"))
+    pieces = pieces.select("piece", F.transform("cells", lambda c: c.bitwiseAND(F.lit(COUNT_TOP)).cast("int")).alias("counts"))
+    row = pieces.agg(F.sort_array(F.collect_list(F.struct("piece", "counts"))).alias("pieces"))
+    return settle(row.select(F.flatten("pieces.counts").alias("counts")), "token-counts")
 
-def described(rows: DataFrame) -> DataFrame:
-    """The narrow table of all lines: place, name of the set, its size, parity bitmap and prefix (null for words of this line alone, which meet nothing)."""
-    size = F.size("ranks")
-    up, down = SIMILARITY
-    prefix = F.slice("ranks", 1, size - F.ceil(size * F.lit(up) / F.lit(down)).cast("int") + 1)
-    zero, bit = F.lit(0).cast("long"), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda of: F.aggregate("ranks", zero, lambda acc, x: acc.bitwiseXOR(of(x)))
-    half = lambda side: parity(lambda x: F.when(x.bitwiseAND(F.lit(64)) == F.lit(64 * side), bit(x)).otherwise(zero))
-    bitmap, bitmap2 = F.when(size > LONG, half(0)).otherwise(parity(bit)), F.when(size > LONG, half(1)).otherwise(zero)
-    return rows.select(
-        "doc_id", "text_key", "line_no", "k", "k2", size.alias("size"), F.when(size > 0, bitmap).alias("bitmap"), F.when(size > 0, bitmap2).alias("bitmap2"),
-        F.when(size > 0, F.transform(prefix, lambda x: F.when(F.shiftright(x, HASH_BITS) > 1, x.bitwiseAND(F.lit(2**31 - 1)).cast("int")))).alias("prefix"),
-    )
 
+def described(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """id, doc, n, the parity bitmap (low, high) and the prefix of each line: tokens that start with their counts, rarest first.
 
-def folded() -> Column:
-    """The 64-bit bitmap of a key, from its halves."""
-    return F.col("bitmap").bitwiseXOR(F.col("bitmap2")).alias("bitmap")
+    ``_counts`` must be used once and beside cheap columns alone: so the optimizer puts the array where it is read and copies it into no row.
+    """
+    cells, n = F.lit(2 ** min(CELL_BITS, TOKEN_BITS) - 1), F.size("tokens")
+    rank = lambda t: F.shiftleft(F.get("_counts", t.bitwiseAND(cells)).cast("long"), TOKEN_BITS).bitwiseOR(t.cast("long"))
+    up, down = SIMILARITY
+    prefix = F.slice(F.sort_array(F.transform("tokens", rank)), F.lit(1), n - F.ceil(n * F.lit(up) / F.lit(down)).cast("int") + 1)
+    zero, shift = F.lit(0).cast("long"), lambda by, x: F.call_function("shiftleft", by, x)
+    whole = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.lit(1).cast("long"), t)))
+    half = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long"), t)))
+    rows = tokens.withColumn("_counts", counts.scalar()).select("id", F.col("first.doc_id").alias("doc"), n.alias("n"), whole.alias("whole"), F.when(n > LONG, half).otherwise(zero).alias("high"), prefix.alias("prefix"))
+    return settle(rows, "line-prefixes").select("id", "doc", "n", F.col("whole").bitwiseXOR(F.col("high")).alias("low"), "high", "prefix")
 
 
-def still_may_match(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs whose 128-bit bitmaps, which only keys of more than LONG words have, allow the similarity too."""
-    up, down = SIMILARITY
-    of = lambda side: keys.select(F.col("k").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "bitmap", "bitmap2")])
-    n = F.col("a_size") + F.col("b_size")
-    apart = F.bit_count(F.col("a_bitmap").bitwiseXOR(F.col("b_bitmap"))) + F.bit_count(F.col("a_bitmap2").bitwiseXOR(F.col("b_bitmap2")))
-    far = (F.col("a_size") > LONG) & (F.col("b_size") > LONG) & (apart > n - F.lit(2) * F.ceil(n * F.lit(up) / F.lit(up + down)))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(~far).select("a", "b").distinct()
+def postings(lines: DataFrame) -> DataFrame:
+    """token, count and what is known of the line. Tokens of one line alone meet nothing and are left out."""
+    posted = lines.select("id", "doc", "n", "low", "high", F.posexplode("prefix").alias("at", "rank"))
+    count = F.shiftright("rank", TOKEN_BITS)
+    return posted.where(count > 1).select(F.col("rank").bitwiseAND(F.lit(2**TOKEN_BITS - 1)).cast("int").alias("token"), (count > SMALL).alias("often"), *SEEN)
 
 
 def may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """The length, positional and bitmap filters for two postings of one word (positions from 0).
-
-    Of two sets the smaller (of equal ones that with the smaller name) shares a word within its first
-    ``n - ceil(8 n / 9) + 1`` already, so pairs that meet at a later word of it are left to that one.
-    """
+    """The length, positional and bitmap filters for two postings of one token, the smaller line first (positions from 0)."""
     up, down = SIMILARITY
-    n = a["size"] + b["size"]
+    n = a["n"] + b["n"]
     least = F.ceil(n * F.lit(up) / F.lit(up + down)).cast("int")
-    fits = (F.least(a["size"], b["size"]) * F.lit(down) >= F.greatest(a["size"], b["size"]) * F.lit(up))
-    rest = F.least(a["size"] - a["at"], b["size"] - b["at"]) >= least
-    distance = F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"]))
-    early = lambda x: x["at"] <= x["size"] - F.ceil(x["size"] * F.lit(2 * up) / F.lit(up + down))
-    smaller = (a["size"] < b["size"]) | ((a["size"] == b["size"]) & (a["k"] < b["k"]))
-    return fits & rest & F.when(smaller, early(a)).otherwise(early(b)) & (distance <= n - F.lit(2) * least)
+    fits = (a["n"] * F.lit(down) >= b["n"] * F.lit(up)) & (a["n"] - a["at"] >= least) & (b["n"] - b["at"] >= least)
+    low, high = a["low"].bitwiseXOR(b["low"]), a["high"].bitwiseXOR(b["high"])
+    distance = F.when((a["n"] > LONG) == (b["n"] > LONG), F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
+    return fits & (distance <= n - F.lit(2) * least)
 
 
 def _of(prefix: str) -> dict[str, Column]:
     return {c: F.col(f"{prefix}{c}") for c in SEEN}
 
 
-def postings(keys: DataFrame) -> DataFrame:
-    """word, doc, k, size, at, bitmap; repartitioned by word."""
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "size", folded(), F.posexplode("prefix").alias("at", "word"))
-    return posted.where("word IS NOT NULL").repartition("word")
-
-
-def _sorted_pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def first_pairs(keys: DataFrame) -> DataFrame:
-    """a, b: pairs of k that may match: all of small groups, and every line of larger ones with the group's earliest."""
-    posted = postings(keys)
-    group = W.partitionBy("word")
-    counted = posted.withColumn("_n", F.count("*").over(group))
-    met = counted.withColumn("_hub", F.min(F.struct("doc", *SEEN)).over(group)).where(F.col("_n") > SMALL)
-    hubs = met.where((F.col("k") != F.col("_hub.k")) & may_match(_of(""), _of("_hub."))).select(*_sorted_pair(F.col("k"), F.col("_hub.k")))
-    small = counted.where(F.col("_n").between(2, SMALL)).drop("_n", "doc")
-    other = small.select("word", *[F.col(c).alias(f"o_{c}") for c in SEEN])
-    pairs = small.join(other, "word").where((F.col("k") < F.col("o_k")) & may_match(_of(""), _of("o_"))).select(F.col("k").alias("a"), F.col("o_k").alias("b"))
-    return hubs.unionByName(pairs).distinct()
-
-
-def later_pairs(keys: DataFrame, removed: DataFrame) -> DataFrame | None:
-    """a, b of groups beyond ``SMALL``: lines not removed so far with all others that are not later by doc_id."""
-    words = keys.select(F.explode("prefix").alias("word")).where("word IS NOT NULL").groupBy("word").count().where(F.col("count") > SMALL)
-    large = settle(words.select("word"), "large-groups")
-    n = large.count()
-    if not n:
-        return None
-    posted = keys.select(F.col("first.doc_id").alias("doc"), "k", "k2", "size", folded(), F.posexplode("prefix").alias("at", "word")).where("word IS NOT NULL")
-    if n * 10 <= MAX_BITS:
-        bloom = build_filter(large, "word", 90, n, 1 / 64)
-        posted = posted.where(holds(F.col("word"), bloom, bloom["words"].scalar()))
-    posted = posted.join(large, "word")
-    open_ = posted.join(removed, ["k", "k2"], "left_anti")
-    other = posted.select("word", *[F.col(c).alias(f"o_{c}") for c in ("doc", *SEEN)])
-    earlier = F.col("o_doc").isNull() | (F.col("o_doc") <= F.col("doc"))
-    pairs = open_.join(other, "word").where((F.col("k") != F.col("o_k")) & earlier & may_match(_of(""), _of("o_")))
-    return pairs.select(*_sorted_pair(F.col("k"), F.col("o_k"))).distinct()
-
-
-def removed_by(pairs: DataFrame, docs: DataFrame, counts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """k, k2 of the later line of every pair whose sets are similar. Sets are made again from the texts, for the lines of pairs alone."""
-    pairs = settle(still_may_match(pairs, keys), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    places = settle(keys.select("k", "k2", "first", place_hash("first.").alias("place")).join(wanted, "k"), f"{name}-places")
-    n = places.count()
-    lines = lines_of(docs, "line")
-    if 0 < n * 10 <= MAX_BITS:
-        bloom = build_filter(places, "place", 91, n, 1 / 64)
-        lines = lines.where(holds(place_hash(), bloom, bloom["words"].scalar()))
-    at = F.struct("doc_id", "text_key", "line_no")
-    found = places.join(lines, (F.col("place") == place_hash()) & at.eqNullSafe(F.col("first"))).dropDuplicates(["k", "k2"])
-    sets = settle(ranked(found.withColumn("words", words_of(F.col("line"))), counts, ("k", "k2", "first")), f"{name}-sets")
-    left = sets.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("k2", "ranks", "first")])
-    right = sets.select(F.col("k").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("k2", "ranks", "first")])
+def _renamed(posted: DataFrame, *keep: str) -> DataFrame:
+    return posted.select(*keep, *[F.col(c).alias(f"o_{c}") for c in SEEN])
+
+
+def _early(n: Column, at: Column) -> Column:
+    """Of two similar sets the smaller shares a word within its first ``n - ceil(8 n / 9) + 1`` already, so only those wait for larger ones."""
     up, down = SIMILARITY
-    common = F.size(F.array_intersect("a_ranks", "b_ranks"))
-    similar = common * F.lit(down) >= (F.size("a_ranks") + F.size("b_ranks") - common) * F.lit(up)
-    true = pairs.join(left, "a").join(right, "b").where(similar)
-    later = F.col("a_first") > F.col("b_first")
-    return settle(true.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k"), F.when(later, F.col("a_k2")).otherwise(F.col("b_k2")).alias("k2")).distinct(), f"{name}-removed")
+    return at <= n - F.ceil(n * F.lit(2 * up) / F.lit(up + down))
+
+
+def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """early, late, sure: ids of lines that may match, the smaller line (of equal ones that with the smaller id) from ``left``.
+
+    Their doc_ids say which is earlier; ``sure`` is false where they do not.
+    """
+    smaller = (F.col("n") < F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("id") < F.col("o_id")))
+    met = left.where(_early(F.col("n"), F.col("at"))).select("token", *SEEN).join(_renamed(right, "token"), "token")
+    later, sure = F.coalesce(F.col("doc") > F.col("o_doc"), F.lit(False)), F.coalesce(F.col("doc") != F.col("o_doc"), F.lit(False))
+    of = lambda first, other: F.when(later, F.col(other)).otherwise(F.col(first))
+    return met.where(smaller & may_match(_of(""), _of("o_"))).select(of("id", "o_id").alias("early"), of("o_id", "id").alias("late"), sure.alias("sure"))
+
+
+def either_way(open_: DataFrame, others: DataFrame) -> DataFrame:
+    return meetings(open_, others).unionByName(meetings(others, open_))
+
+
+def large_groups(posted: DataFrame) -> DataFrame:
+    """Tokens that more than SMALL lines post. Only tokens that so many lines hold are counted."""
+    return settle(posted.where("often").groupBy("token").count().where(F.col("count") > SMALL).select("token"), "large-groups")
+
+
+def similar_later(pairs: DataFrame, docs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+    """id of the later line of every pair whose words are similar. Words are split again from the texts, for the lines of pairs alone.
+
+    Each line is held against one earlier line first, and only those still not removed against all others.
+    """
+    pairs = settle(pairs.distinct(), f"{name}-pairs")
+    wanted = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
+    places = settle(tokens.select("id", "first").join(wanted, "id"), f"{name}-places")
+    lines, _ = found_at(lines_of(docs), places, places.count(), 91)
+    words = F.array_remove(F.array_distinct(split_words(F.col("line"))), "")
+    at = places.select("id", "first", place_hash("first.").alias("_at"))
+    found = at.join(lines, (F.col("_at") == place_hash()) & place().eqNullSafe(F.col("first"))).select("id", words.alias("words"))
+    sets = settle(found.dropDuplicates(["id"]), f"{name}-words")
+    of = lambda side: places.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first"))
+    unsure = pairs.where("NOT sure").join(of("early"), "early").join(of("late"), "late").where("early_first <> late_first")
+    turned = F.col("early_first") > F.col("late_first")
+    unsure = unsure.select(F.when(turned, F.col("late")).otherwise(F.col("early")).alias("early"), F.when(turned, F.col("early")).otherwise(F.col("late")).alias("late"))
+    pairs = pairs.where("sure").select("early", "late").unionByName(unsure)
+
+    def true(of_pairs: DataFrame) -> DataFrame:
+        up, down = SIMILARITY
+        with_words = lambda side: sets.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
+        common = F.size(F.array_intersect("early_words", "late_words"))
+        similar = common * F.lit(down) >= (F.size("early_words") + F.size("late_words") - common) * F.lit(up)
+        return of_pairs.join(with_words("early"), "early").join(with_words("late"), "late").where(similar).select(F.col("late").alias("id")).distinct()
+
+    removed = settle(true(pairs.groupBy("late").agg(F.min("early").alias("early"))), f"{name}-removed")
+    left = pairs.join(removed.select(F.col("id").alias("late")), "late", "left_anti")
+    return settle(removed.unionByName(true(left)), f"{name}-all-removed")
+
+
+def later_ones(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """id of every line of ``tokens`` to which an earlier one is similar."""
+    posted = postings(described(tokens, count_tokens(tokens)))
+    if (large := large_groups(posted)).isEmpty():
+        return similar_later(meetings(posted, posted), docs, tokens, "lines")
+    small = posted.join(large, "token", "left_anti")
+    crowd = settle(posted.where("often").join(large, "token"), "crowd")
+    where = crowd.join(tokens.select("id", "first"), "id")
+    hubs = where.groupBy("token").agg(F.min(F.struct("first", *SEEN)).alias("hub")).select("token", "hub.*").drop("first")
+    removed = similar_later(meetings(small, small).unionByName(either_way(hubs, crowd)), docs, tokens, "first")
+    more = similar_later(either_way(crowd.join(removed, "id", "left_anti"), crowd), docs, tokens, "later")
+    return settle(removed.unionByName(more).distinct(), "later-ones")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_rows, n_lines, removed: the numbers of the lines to remove, one row for each (doc_id, text)."""
-    counts = count_words(docs)
-    lines = settle(described(keyed(ranked(lines_of(docs), counts))), "lines")
-    named = lines.where("k IS NOT NULL")
-    keys = named.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.any_value("size").alias("size"), F.any_value("bitmap").alias("bitmap"), F.any_value("bitmap2").alias("bitmap2"), F.any_value("prefix").alias("prefix"))
-    keys = settle(keys, "line-keys")
-    removed = removed_by(first_pairs(keys), docs, counts, keys, "first")
-    more = later_pairs(keys, removed)
-    if more is not None:
-        removed = settle(removed.unionByName(removed_by(more, docs, counts, keys, "later")).distinct(), "removed")
-    judged = settle(keys.select("k", "k2", "first").join(removed.withColumn("_gone", F.lit(True)), ["k", "k2"], "left").select("k", "k2", "first", F.coalesce("_gone", F.lit(False)).alias("gone")), "line-judged")
-    place = F.struct("doc_id", "text_key", "line_no")
-    dropped = named.select("doc_id", "text_key", "line_no", "k", "k2").join(judged, ["k", "k2"]).where(F.col("gone") | ~place.eqNullSafe(F.col("first")))
-    dropped = dropped.select("doc_id", "text_key", "line_no", F.lit(True).alias("gone")).unionByName(lines.select("doc_id", "text_key", "line_no", F.lit(False).alias("gone")))
-    per = dropped.groupBy("doc_id", "text_key").agg(
-        F.sum(((F.col("line_no") == 0) & ~F.col("gone")).cast("int")).alias("n_rows"), (F.max("line_no") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
+    content = F.when(F.rlike("line", F.lit(HAS_WORD)), F.unhex(F.substring(F.sha2("line", 256), 1, 32)))
+    lines = settle(lines_of(docs).select(*PLACE, content.alias("content")), "lines")
+    firsts = settle(lines.where("content IS NOT NULL").groupBy("content").agg(F.min(place()).alias("first")), "first-lines")
+    told, _ = found_at(lines_of(docs).where(F.rlike("line", F.lit(HAS_WORD))), firsts, firsts.count(), 90)
+    tokens = tokens_of(told)
+    gone = later_ones(docs, tokens).withColumn("_gone", F.lit(True)).join(tokens.select("id", "first"), "id")
+    gone = gone.select(place_hash("first.").alias("_at"), F.col("first").alias("_first"), "_gone").dropDuplicates(["_at", "_first"])
+    judged = firsts.join(gone, (place_hash("first.") == F.col("_at")) & F.col("first").eqNullSafe(F.col("_first")), "left")
+    judged = judged.select("content", "first", F.coalesce("_gone", F.lit(False)).alias("gone"))
+    judged = lines.join(judged, "content", "left").select(*PLACE, F.coalesce(F.col("gone") | ~place().eqNullSafe(F.col("first")), F.lit(False)).alias("gone"))
+    return judged.groupBy("doc_id", "text_key").agg(
+        F.sum((F.col("line_no") == 0).cast("int")).alias("n_rows"), (F.max("line_no") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
     )
-    return per
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that go taken out of their texts; all other columns stay."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("removed").alias("_gone"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty()) == F.col("_gone_key"))
-    kept = F.array_join(F.filter(F.split(text_or_empty(), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, same)
-    return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    id_, key, gone = unused(docs, "id", "key", "gone")
+    found = removed_lines(docs).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("removed").alias(gone))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(key))
+    kept = F.array_join(F.filter(F.split(text_or_empty(), "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    return docs.join(found, same).select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
