@@ -31,12 +31,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import settle, table, text_or_empty, unused
+from cairn.llm.shared import discard, settle, table, text_or_empty, unused
 from cairn.llm.url_filters import MAX_BITS, build_filter, holds
 
 #: Similarity as a fraction: 4 / 5.
 SIMILARITY = (4, 5)
-TOKEN_BITS, CELL_BITS, SMALL = 31, 21, 2048
+TOKEN_BITS, CELL_BITS, SMALL = 31, 21, 512
 COUNT_TOP = 2**24 - 1
 #: Words beyond which the parity bitmap has 128 bits; its two halves together are the 64-bit one.
 LONG = 80
@@ -99,7 +99,7 @@ def count_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def described(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """id, doc, n, the parity bitmap (low, high) and the prefix of each line: tokens that start with their counts, rarest first.
+    """id, place, n, the parity bitmap (whole, high) and the prefix of each line: tokens that start with their counts, rarest first.
 
     ``_counts`` must be used once and beside cheap columns alone: so the optimizer puts the array where it is read and copies it into no row.
     """
@@ -110,13 +110,14 @@ def described(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     zero, shift = F.lit(0).cast("long"), lambda by, x: F.call_function("shiftleft", by, x)
     whole = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.lit(1).cast("long"), t)))
     half = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long"), t)))
-    rows = tokens.withColumn("_counts", counts.scalar()).select("id", F.col("first.doc_id").alias("doc"), n.alias("n"), whole.alias("whole"), F.when(n > LONG, half).otherwise(zero).alias("high"), prefix.alias("prefix"))
-    return settle(rows, "line-prefixes").select("id", "doc", "n", F.col("whole").bitwiseXOR(F.col("high")).alias("low"), "high", "prefix")
+    rows = tokens.withColumn("_counts", counts.scalar()).select("id", "first", n.alias("n"), whole.alias("whole"), F.when(n > LONG, half).otherwise(zero).alias("high"), prefix.alias("prefix"))
+    return settle(rows, "line-prefixes")
 
 
 def postings(lines: DataFrame) -> DataFrame:
     """token, count and what is known of the line. Tokens of one line alone meet nothing and are left out."""
-    posted = lines.select("id", "doc", "n", "low", "high", F.posexplode("prefix").alias("at", "rank"))
+    low = F.col("whole").bitwiseXOR(F.col("high"))
+    posted = lines.select("id", F.col("first.doc_id").alias("doc"), "n", low.alias("low"), "high", F.posexplode("prefix").alias("at", "rank"))
     count = F.shiftright("rank", TOKEN_BITS)
     return posted.where(count > 1).select(F.col("rank").bitwiseAND(F.lit(2**TOKEN_BITS - 1)).cast("int").alias("token"), (count > SMALL).alias("often"), *SEEN)
 
@@ -167,14 +168,14 @@ def large_groups(posted: DataFrame) -> DataFrame:
     return settle(posted.where("often").groupBy("token").count().where(F.col("count") > SMALL).select("token"), "large-groups")
 
 
-def similar_later(pairs: DataFrame, docs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+def similar_later(pairs: DataFrame, docs: DataFrame, known: DataFrame, name: str) -> DataFrame:
     """id of the later line of every pair whose words are similar. Words are split again from the texts, for the lines of pairs alone.
 
     Each line is held against one earlier line first, and only those still not removed against all others.
     """
-    pairs = settle(pairs.distinct(), f"{name}-pairs")
+    pairs = met = settle(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
-    places = settle(tokens.select("id", "first").join(wanted, "id"), f"{name}-places")
+    places = settle(known.select("id", "first").join(wanted, "id"), f"{name}-places")
     lines, _ = found_at(lines_of(docs), places, places.count(), 91)
     words = F.array_remove(F.array_distinct(split_words(F.col("line"))), "")
     at = places.select("id", "first", place_hash("first.").alias("_at"))
@@ -195,20 +196,22 @@ def similar_later(pairs: DataFrame, docs: DataFrame, tokens: DataFrame, name: st
 
     removed = settle(true(pairs.groupBy("late").agg(F.min("early").alias("early"))), f"{name}-removed")
     left = pairs.join(removed.select(F.col("id").alias("late")), "late", "left_anti")
-    return settle(removed.unionByName(true(left)), f"{name}-all-removed")
+    every = settle(removed.unionByName(true(left)), f"{name}-all-removed")
+    discard(met, sets, removed)
+    return every
 
 
-def later_ones(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """id of every line of ``tokens`` to which an earlier one is similar."""
-    posted = postings(described(tokens, count_tokens(tokens)))
+def later_ones(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """id of every line of ``known`` (as ``described``) to which an earlier one is similar."""
+    posted = postings(known)
     if (large := large_groups(posted)).isEmpty():
-        return similar_later(meetings(posted, posted), docs, tokens, "lines")
+        return similar_later(meetings(posted, posted), docs, known, "lines")
     small = posted.join(large, "token", "left_anti")
     crowd = settle(posted.where("often").join(large, "token"), "crowd")
-    where = crowd.join(tokens.select("id", "first"), "id")
+    where = crowd.join(known.select("id", "first"), "id")
     hubs = where.groupBy("token").agg(F.min(F.struct("first", *SEEN)).alias("hub")).select("token", "hub.*").drop("first")
-    removed = similar_later(meetings(small, small).unionByName(either_way(hubs, crowd)), docs, tokens, "first")
-    more = similar_later(either_way(crowd.join(removed, "id", "left_anti"), crowd), docs, tokens, "later")
+    removed = similar_later(meetings(small, small).unionByName(either_way(hubs, crowd)), docs, known, "first")
+    more = similar_later(either_way(crowd.join(removed, "id", "left_anti"), crowd), docs, known, "later")
     return settle(removed.unionByName(more).distinct(), "later-ones")
 
 
@@ -219,11 +222,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     firsts = settle(lines.where("content IS NOT NULL").groupBy("content").agg(F.min(place()).alias("first")), "first-lines")
     told, _ = found_at(lines_of(docs).where(F.rlike("line", F.lit(HAS_WORD))), firsts, firsts.count(), 90)
     tokens = tokens_of(told)
-    gone = later_ones(docs, tokens).withColumn("_gone", F.lit(True)).join(tokens.select("id", "first"), "id")
+    known = described(tokens, count_tokens(tokens))
+    discard(tokens)
+    gone = later_ones(docs, known).withColumn("_gone", F.lit(True)).join(known.select("id", "first"), "id")
     gone = gone.select(place_hash("first.").alias("_at"), F.col("first").alias("_first"), "_gone").dropDuplicates(["_at", "_first"])
     judged = firsts.join(gone, (place_hash("first.") == F.col("_at")) & F.col("first").eqNullSafe(F.col("_first")), "left")
     judged = judged.select("content", "first", F.coalesce("_gone", F.lit(False)).alias("gone"))
-    judged = lines.join(judged, "content", "left").select(*PLACE, F.coalesce(F.col("gone") | ~place().eqNullSafe(F.col("first")), F.lit(False)).alias("gone"))
+    judged = lines.join(judged, "content", "left").select(*PLACE, F.when(F.col("content").isNotNull(), F.col("gone") | ~place().eqNullSafe(F.col("first"))).otherwise(F.lit(False)).alias("gone"))
     return judged.groupBy("doc_id", "text_key").agg(
         F.sum((F.col("line_no") == 0).cast("int")).alias("n_rows"), (F.max("line_no") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
     )

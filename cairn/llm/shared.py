@@ -30,7 +30,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote and that nothing will read again."""
+    for df in settled:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
