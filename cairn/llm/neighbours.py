@@ -1,14 +1,16 @@
 """Approximate nearest neighbours with forests of random-projection trees.
 
-Vectors are dealt by a hash of their id into blocks of about ``BLOCK`` rows, and each block grows a forest: a node
-splits its rows at the median of their projections on the difference of two of them; leaves hold up to ``LEAF`` rows.
-A query searches all trees of a block at once through one priority queue. A leaf waits in it under the largest margin
-by which the way to it crosses to the far side of a split, so the leaves that come out first are those the query
-nearly falls into, whichever tree they are in. Leaves come out until ``SHARE`` of the block's rows are candidates;
-these are ranked exactly, in double precision, and the best of all blocks are merged.
+Vectors are dealt by a hash of their id into blocks of about ``BLOCK`` rows. Each block grows one forest, which is stored:
+a node splits its rows in halves at the median of their projections on the difference of two of them; leaves hold up to
+``LEAF`` rows. A query searches all trees of a block through one priority queue: a leaf waits in it under the largest
+margin by which the way to it crosses to the far side of a split, so the leaves that come out first are those the query
+nearly falls into, whichever tree they are in. The queue is served in one go, by selecting the leaves of the smallest
+margins, ``VISITS`` times the rows of the block in all. A row that many of them hold is likely near: the rows that
+stand in most of them are the candidates, ``WIDTH`` times the geometric mean of the neighbours asked for and the block's
+rows. These are ranked exactly, in double precision, and the best of all blocks are merged.
 
 Queries are dealt into chunks and meet every block in a task of its own, so no task holds more than one block and one
-chunk, and nothing is broadcast.
+chunk, and nothing is broadcast. Every query visits every block, so the rows that move grow with the product of the two.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without an id; of rows that share an id the largest vector (compared component by component) takes part; vectors of
@@ -18,8 +20,6 @@ are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,78 +28,91 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import settle, table
 
-BLOCK, CHUNK, TREES, LEAF, SHARE, NEAREST = 32_768, 1024, 32, 64, 0.45, 20
-#: Candidates of a query in a block, at least.
-FLOOR = 4000
+BLOCK, CHUNK, TREES, LEAF, VISITS, WIDTH, NEAREST = 16_384, 8192, 64, 32, 10, 2.5, 20
+#: Queries that a task handles at a time.
+AT_ONCE = 64
 
 
 class Forest:
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
-        self.x, self.leaf, self.rng = vectors, leaf, np.random.default_rng(seed)
-        self.normals: list[np.ndarray] = []
-        self.offsets: list[float] = []
-        #: For an inner node its two children; for a leaf, minus one minus its place in ``leaves``.
-        self.children: list[tuple[int, int] | int] = []
-        self.leaves: list[np.ndarray] = []
-        self.roots = [self._grow(np.arange(len(vectors))) for _ in range(trees)]
-        self.planes = np.array(self.normals).reshape(len(self.normals), vectors.shape[1])
-        self.thresholds = np.array(self.offsets)
-
-    def _grow(self, rows: np.ndarray) -> int:
-        if len(rows) <= self.leaf:
-            self.leaves.append(rows)
-            return self._node(np.zeros(self.x.shape[1]), 0.0, -len(self.leaves))
-        a, b = self.x[self.rng.choice(rows, 2, replace=False)]
-        normal = a - b
-        length = np.sqrt((normal * normal).sum())
-        normal = normal / length if length > 0 else self.rng.standard_normal(len(a)) / np.sqrt(len(a))
-        at = self.x[rows] @ normal
-        cut = float(np.median(at))
-        left = at < cut
-        if not 0 < left.sum() < len(rows):
-            left = at <= cut
-        if not 0 < left.sum() < len(rows):
-            left = self.rng.permutation(len(rows)) < len(rows) // 2
-        me = self._node(normal, cut, (0, 0))
-        self.children[me] = (self._grow(rows[left]), self._grow(rows[~left]))
-        return me
-
-    def _node(self, normal: np.ndarray, cut: float, children: tuple[int, int] | int) -> int:
-        self.normals.append(normal)
-        self.offsets.append(cut)
-        self.children.append(children)
-        return len(self.children) - 1
-
-    def candidates(self, margins: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows of the leaves that come first out of the queue, until there are ``wanted``. margins: of one query at all nodes."""
-        queue = [(0.0, root) for root in self.roots]
-        seen = np.zeros(len(self.x), bool)
-        n, m, children, leaves = 0, margins.tolist(), self.children, self.leaves
-        check = wanted
-        while queue:
-            far, node = heapq.heappop(queue)
-            while not isinstance(children[node], int):
-                left, right = children[node]
-                near, other = (right, left) if m[node] >= 0 else (left, right)
-                heapq.heappush(queue, (max(far, abs(m[node])), other))
-                node = near
-            rows = leaves[-1 - children[node]]
-            seen[rows] = True
-            n += len(rows)
-            if n >= check:
-                if (have := int(seen.sum())) >= wanted:
-                    break
-                check = n + wanted - have
-        return np.flatnonzero(seen)
-
-    def search(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, nearest: int, share: float):
+    """Trees of one depth over the rows of ``x``. A tree is the order of its rows, leaf after leaf, and for each inner node the two rows of its normal and the cut."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7, stored: bytes | None = None):
+        self.x, self.trees, self.seed = x, trees, seed
+        self.depth = max(0, int(np.ceil(np.log2(max(1, len(x)) / leaf))))
+        self.bounds = np.array([0, len(x)])
+        for _ in range(self.depth):
+            self.bounds = np.sort(np.concatenate([self.bounds, self._middles(self.bounds)]))
+        inner = 2**self.depth - 1
+        if stored is None:
+            self.order, self.pairs, self.cuts = np.empty((trees, len(x)), np.int32), np.empty((trees, inner, 2), np.int32), np.empty((trees, inner))
+            for t in range(trees):
+                self._grow(t)
+        else:
+            parts = np.split(np.frombuffer(stored, np.uint8), np.cumsum([4 * trees * len(x), 8 * trees * inner]))
+            self.order, self.pairs, self.cuts = parts[0].view(np.int32).reshape(trees, -1), parts[1].view(np.int32).reshape(trees, inner, 2), parts[2].view(np.float64).reshape(trees, inner)
+
+    def stored(self) -> bytes:
+        return self.order.tobytes() + self.pairs.tobytes() + self.cuts.tobytes()
+
+    @staticmethod
+    def _middles(bounds: np.ndarray) -> np.ndarray:
+        return bounds[:-1] + np.diff(bounds) // 2
+
+    def _normals(self, t: int, level: int) -> np.ndarray:
+        a, b = self.pairs[t, 2**level - 1 : 2 ** (level + 1) - 1].T
+        normals = self.x[a] - self.x[b]
+        alike = ~normals.any(1)
+        normals[alike] = np.random.default_rng((self.seed, t, level)).standard_normal((int(alike.sum()), self.x.shape[1]))
+        return normals / np.sqrt((normals * normals).sum(1, keepdims=True))
+
+    def _grow(self, t: int) -> None:
+        rng, bounds = np.random.default_rng((self.seed, t)), np.array([0, len(self.x)])
+        order = rng.permutation(len(self.x))  # rows of equal projections are dealt by this order
+        for level in range(self.depth):
+            starts, sizes = bounds[:-1], np.diff(bounds)
+            first = rng.integers(0, sizes)
+            second = (first + rng.integers(1, np.maximum(sizes, 2))) % sizes
+            here = slice(2**level - 1, 2 ** (level + 1) - 1)
+            self.pairs[t, here] = np.stack([order[starts + first], order[starts + second]], 1)
+            node = np.repeat(np.arange(len(sizes)), sizes)
+            at = (self.x[order] * self._normals(t, level)[node]).sum(1)
+            by = np.lexsort((at, node))
+            order, at, middles = order[by], at[by], self._middles(bounds)
+            self.cuts[t, here] = (at[np.maximum(middles - 1, 0)] + at[middles]) / 2
+            bounds = np.sort(np.concatenate([bounds, middles]))
+        self.order[t] = order
+
+    def margins(self, queries: np.ndarray) -> np.ndarray:
+        """For each query the place in the queue of every leaf of every tree."""
+        out = np.empty((len(queries), self.trees, 2**self.depth), np.float32)
+        for t in range(self.trees):
+            far = np.zeros((len(queries), 1))
+            for level in range(self.depth):
+                m = queries @ self.planes[t][level].T - self.cuts[t, 2**level - 1 : 2 ** (level + 1) - 1]
+                across = np.maximum(far, np.abs(m))
+                far = np.stack([np.where(m < 0, far, across), np.where(m < 0, across, far)], 2).reshape(len(queries), -1)
+            out[:, t] = far
+        return out.reshape(len(queries), -1)
+
+    def search(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, nearest: int, width: float = WIDTH, visits: float = VISITS):
         """For each query (place, ids, scores) of its nearest candidates. ``own``: the ids of the queries themselves."""
-        wanted = max(FLOOR, nearest + 1, int(np.ceil(share * len(self.x))))
-        for at in range(0, len(queries), 256):
-            margins = queries[at : at + 256] @ self.planes.T - self.thresholds
-            for k, q in enumerate(queries[at : at + 256]):
-                rows = self.candidates(margins[k], wanted)
-                rows = rows[ids[rows] != own[at + k]]
+        n, leaves = len(self.x), 2**self.depth
+        wanted = min(n, max(nearest + 1, int(np.ceil(width * np.sqrt(nearest * n)))))
+        self.planes = [[self._normals(t, level) for level in range(self.depth)] for t in range(self.trees)]
+        sizes = np.diff(self.bounds)
+        spots = self.bounds[:-1, None] + np.minimum(np.arange(sizes.max()), sizes[:, None])  # one beyond a smaller leaf's end
+        padded = np.concatenate([self.order, np.full((self.trees, 1), n, np.int32)], 1)
+        members = padded[:, spots]
+        members[:, np.arange(sizes.max()) >= sizes[:, None]] = n
+        members = members.reshape(self.trees * leaves, -1)
+        served = min(self.trees * leaves, int(np.ceil(visits * leaves)))
+        for at in range(0, len(queries), AT_ONCE):
+            margins = self.margins(queries[at : at + AT_ONCE])
+            for k, q in enumerate(queries[at : at + AT_ONCE]):
+                out = np.argpartition(margins[k], served - 1)[:served]
+                votes = np.bincount(members[out].reshape(-1), minlength=n + 1)[:n]
+                rows = np.argpartition(-votes, wanted - 1)[:wanted]
+                rows = rows[(ids[rows] != own[at + k]) & (votes[rows] > 0)]
                 scores = (self.x[rows] * q).sum(1)  # a row's sum doesn't depend on its place, so equal vectors tie
                 if len(rows) > nearest:
                     edge = np.partition(scores, len(rows) - nearest)[len(rows) - nearest]
@@ -113,38 +126,53 @@ def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(F.col(key).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0.0))
-    one = rows.groupBy(F.col(key).cast("long").alias("key")).agg(F.max(F.col(vector)).alias("vector"))
+    one = rows.groupBy(F.col(key).cast("long").alias("key")).agg(F.max(v).alias("vector"))
     return one.withColumn("dim", F.size("vector"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, share: float = SHARE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def _matrix(t: pa.Table, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = t.column(key).to_numpy()
+    flat = t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    order = np.argsort(ids)  # the same forest however the rows arrive
+    return ids[order], flat.reshape(len(ids), -1)[order]
+
+
+def grow(rows: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """dim, block, forest: one stored forest for each block of ``rows``."""
+
+    def work(keys, t):
+        _, x = _matrix(t, "key", "vector")
+        return pa.table({"dim": pa.array([keys[0].as_py()], pa.int32()), "block": pa.array([keys[1].as_py()], pa.int32()), "forest": pa.array([Forest(x, trees, leaf).stored()], pa.binary())})
+
+    return settle(rows.groupBy("dim", "block").applyInArrow(work, "dim int, block int, forest binary"), "forests")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, width: float = WIDTH, trees: int = TREES, leaf: int = LEAF, visits: float = VISITS) -> DataFrame:
     """query, rank, key, score. ``vectors`` as from ``valid``; ``is_query`` is a condition on its columns."""
     vectors = settle(vectors, "vectors")
     sizes = vectors.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil(F.greatest(F.sum(is_query.cast("int")), F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
     sized = vectors.join(F.broadcast(sizes), "dim")  # one row for each vector length
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    rows = sized.select("dim", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), "key", "vector")
+    rows = sized.select("dim", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "chunks", "key", "vector")
+    forests = grow(rows.drop("chunks"), trees, leaf).join(F.broadcast(sizes), "dim")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held = rows.select("dim", "block", upto("chunks").alias("chunk"), "key", "vector", none("binary", "forest"))
+    held = held.unionByName(forests.select("dim", "block", upto("chunks").alias("chunk"), none("long", "key"), none("array<double>", "vector"), "forest"))
     queries = sized.where(is_query).select(
         F.col("dim").alias("_dim"), upto("blocks").alias("_block"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int").alias("_chunk"), F.col("key").alias("own"), F.col("vector").alias("sought")
     )
 
     def work(left, right):
-        empty = pa.table({"query": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return empty
-
-        def matrix(t, key, vector):
-            ids = t.column(key).to_numpy()
-            flat = t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            order = np.argsort(ids)  # the same forest however the rows arrive
-            return ids[order], flat.reshape(len(ids), -1)[order]
-
-        ids, x = matrix(left, "key", "vector")
-        own, q = matrix(right, "own", "sought")
-        out = [(np.full(len(found), own[i]), found, scores) for i, found, scores in Forest(x, trees, leaf).search(q, ids, own, k, share)]
+            return pa.table({"query": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        there = left.column("forest").is_valid()
+        stored = left.filter(there).column("forest")[0].as_py()
+        ids, x = _matrix(left.filter(left.column("key").is_valid()), "key", "vector")
+        own, q = _matrix(right, "own", "sought")
+        out = [(np.full(len(found), own[i]), found, scores) for i, found, scores in Forest(x, trees, leaf, stored=stored).search(q, ids, own, k, width, visits)]
         return pa.table({name: np.concatenate(c) for name, c in zip(("query", "key", "score"), zip(*out, strict=True), strict=True)})
 
-    found = rows.select(F.col("dim").alias("d"), F.col("block").alias("b"), F.col("chunk").alias("c"), F.col("key").alias("key"), F.col("vector").alias("vector")).groupBy("d", "b", "c").cogroup(queries.groupBy("_dim", "_block", "_chunk")).applyInArrow(work, "query long, key long, score double")
+    found = held.select(F.col("dim").alias("d"), F.col("block").alias("b"), F.col("chunk").alias("c"), "key", "vector", "forest").groupBy("d", "b", "c").cogroup(queries.groupBy("_dim", "_block", "_chunk")).applyInArrow(work, "query long, key long, score double")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
