@@ -61,9 +61,6 @@ class Lexicon:
         self.terms, self.exact_only = terms, exact_only
         self._ready = False
 
-    def __getstate__(self):
-        return {"terms": self.terms, "exact_only": self.exact_only, "_ready": False}
-
     def edits(self, term: str) -> int:
         return 0 if term in self.exact_only else (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
 
@@ -189,6 +186,18 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def plain(lexicon: Lexicon, weights: list[float] = ()) -> dict:
+    """What is sent to the workers: built-in types alone, which they read without this package."""
+    return {"terms": dict(lexicon.terms), "exact_only": sorted(lexicon.exact_only), "weights": list(weights)}
+
+
+def rebuilt(held: dict) -> Model:
+    """The model of what ``plain`` made, once for each worker, so that its memory lasts over tasks."""
+    if "model" not in held:
+        held["model"] = Model(Lexicon(held["terms"], frozenset(held["exact_only"])), held["weights"])
+    return held["model"]
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -314,12 +323,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     rows = [(r.term, r.stem, r.bad, r.good) for r in _counted(sample, known_terms).collect()]
     first = Lexicon(choose_terms(rows, n_bad, n_good))
-    sent = spark.sparkContext.broadcast(first)
+    sent = spark.sparkContext.broadcast(plain(first))
 
     def misspelled(texts, toxic):
         out: Counter = Counter()
+        known = rebuilt(sent.value).lexicon
         for t, y in zip(texts, toxic, strict=True):
-            out.update({(term, edits, y) for term, edits in sent.value.hits_in(set(words(t))).values() if edits})
+            out.update({(term, edits, y) for term, edits in known.hits_in(set(words(t))).values() if edits})
         return out
 
     near = _counted(sample, misspelled, "term string, edits int").collect()
@@ -329,11 +339,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         loose[r.term, 1] += r.good
     exact_only = frozenset(t for t in first.terms if loose[t, 1] and loose[t, 0] / n_bad < LEAST_RATIO * loose[t, 1] / n_good)
     lexicon = Lexicon(first.terms, exact_only)
-    final = spark.sparkContext.broadcast(lexicon)
+    final = spark.sparkContext.broadcast(plain(lexicon))
 
     def totals(batches):
+        known = rebuilt(final.value).lexicon
         for batch in batches:
-            found = [abuse(t, final.value) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [abuse(t, known) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], ["toxic", "total"])
 
     fitted = sample.mapInArrow(totals, "toxic int, total double").collect()
@@ -343,11 +354,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
 def score_column(spark: SparkSession, model: Model):
     """The score as a function of a text column."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(plain(model.lexicon, model.weights))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([sent.value.score(t) for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
+        model = rebuilt(sent.value)
+        return pa.array([model.score(t) for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
 
     return score
 
