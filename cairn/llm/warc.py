@@ -56,8 +56,12 @@ def digest_text(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def digest_hex(text: str) -> str:
-    return base64.b32decode(text.removeprefix("sha1:")).hex()
+def digest_hex(text: str) -> str | None:
+    """The SHA-1 that a digest header names, in base 32 or hex; null for other hashes."""
+    kind, _, value = text.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if re.fullmatch("[0-9A-Fa-f]{40}", value) else base64.b32decode(value.upper()).hex()
 
 
 def record_id(page_id: int | None, sha1: bytes) -> str:
@@ -65,8 +69,9 @@ def record_id(page_id: int | None, sha1: bytes) -> str:
 
 
 def page_of(record: str) -> int | None:
-    page = record.removeprefix("<urn:x-page:").split(":")[0]
-    return None if page == "null" else int(page)
+    """The page that a record id of ours names; null for ids of other writers."""
+    own = re.match(r"<urn:x-page:(-?\d+):", record)
+    return int(own[1]) if own else None
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
@@ -151,7 +156,10 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def read_records(read: Callable[[int], bytes], keep_payload: bool = False, max_header: int | None = MAX_HEADER) -> Iterator[Record]:
-    """The records of an archive in order. ``read(n)`` gives up to n raw bytes, none at the end. ``max_header``: None for archives of our own, whose urls have any length."""
+    """The records of an archive in order. ``read(n)`` gives up to n raw bytes, none at the end. ``max_header``: None for archives of our own, whose urls have any length.
+
+    A block of type application/http starts with an HTTP header, and the rest is the payload; any other block is payload.
+    """
     members = _Members(read, max_header)
     while members.next_member():
         head = members.until(b"\r\n\r\n")
@@ -162,13 +170,16 @@ def read_records(read: Callable[[int], bytes], keep_payload: bool = False, max_h
             length = int(record.headers["content-length"])
         except (KeyError, ValueError) as e:
             raise WarcError("no valid Content-Length") from e
-        block_hash, payload_hash, kept, http, seen = hashlib.sha1(), hashlib.sha1(), [], b"", False
+        block_hash, payload_hash, kept, http = hashlib.sha1(), hashlib.sha1(), [], b""
+        seen = not record.headers.get("content-type", "").lower().startswith("application/http")
         for piece in members.take(length):
             block_hash.update(piece)
             if not seen:
                 http += piece
-                at = http.find(b"\r\n\r\n")
+                at = http.find(b"\r\n\r\n", max(0, len(http) - len(piece) - 3))
                 if at < 0:
+                    if len(http) > MAX_HEADER:
+                        raise WarcError("no end of HTTP header")
                     continue
                 record.http, piece, seen = _fields(http[:at]), http[at + 4 :], True
             payload_hash.update(piece)
@@ -177,14 +188,15 @@ def read_records(read: Callable[[int], bytes], keep_payload: bool = False, max_h
                 kept.append(piece)
         if members.rest() != b"\r\n\r\n":
             raise WarcError("the record does not end after its Content-Length")
-        if digest_text(block_hash.digest()) != record.headers.get("warc-block-digest", digest_text(block_hash.digest())):
+        told = {kind: digest_hex(record.headers.get(f"warc-{kind}-digest", "none")) for kind in ("block", "payload")}
+        if told["block"] not in (None, block_hash.hexdigest()):
             raise WarcError(f"block digest of {record.headers.get('warc-record-id')}")
         if record.type == "revisit":
             record.payload_bytes = int(record.http.get("content-length", 0))
-            record.payload_sha1 = digest_hex(record.headers["warc-payload-digest"])
+            record.payload_sha1 = told["payload"] or ""
         else:
             record.payload_sha1 = payload_hash.hexdigest()
-            if record.headers.get("warc-payload-digest", "sha1:").startswith("sha1:") and digest_text(payload_hash.digest()) != record.headers.get("warc-payload-digest", digest_text(payload_hash.digest())):
+            if told["payload"] not in (None, record.payload_sha1):
                 raise WarcError(f"payload digest of {record.headers.get('warc-record-id')}")
             record.payload = b"".join(kept) if keep_payload else None
         yield record
