@@ -5,8 +5,12 @@ universe that it lets through by mistake are encoded in level 2; the listed keys
 encoded in level 3, and so on until a level makes no mistake. A key's place is decided by the first level that does
 not hold it, so every host is judged exactly by a scan with no join of pages.
 
-The filters are arrays of 64-bit words in one row each, read by scalar subqueries. Their size is computed from the
-count of listed keys before any is built. Above ``MAX_BITS`` the verdict comes from a shuffled join of hosts instead.
+The list is a table of hosts, each standing for itself and its subdomains, of any size and origin; without one, hosts
+with a word of ``LISTED_WORDS`` are listed. The list meets the distinct hosts once, when the cascade is built, and the
+pages never.
+
+The filters are arrays of 64-bit words in one row each, read by scalar subqueries. The size of every level is computed
+from the count of its keys before it is built. Above ``MAX_BITS`` the verdict comes from a shuffled join of hosts instead.
 
 Defined cases: null url, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated rows are
 judged alike; an empty table, or an empty list, allows everything.
@@ -85,10 +89,11 @@ def build_cascade(universe: DataFrame, key: str, listed: str) -> list[dict] | No
     sides = {True: universe.where(F.col(listed)).select(key), False: universe.where(~F.col(listed)).select(key)}
     levels: list[dict] = []
     inside, n = True, sides[True].count()
-    if n * -math.log(FIRST_RATE) / math.log(2) ** 2 > MAX_BITS:
-        return None
     while n:
-        f = build_filter(sides[inside], key, len(levels) + 1, n, FIRST_RATE if not levels else NEXT_RATE)
+        rate = NEXT_RATE if levels else FIRST_RATE
+        if n * -math.log(rate) / math.log(2) ** 2 > MAX_BITS:
+            return None
+        f = build_filter(sides[inside], key, len(levels) + 1, n, rate)
         levels.append(f)
         inside = not inside
         sides[inside] = settle(sides[inside].where(holds(F.col(key), f, f["words"].scalar())), f"cascade-next-{len(levels)}")
@@ -104,11 +109,24 @@ def listed_by(key: Column, levels: list[dict]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: Column | None = None, rules: tuple = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict. ``listed`` is a condition on the column ``host`` that says which are listed."""
+def listed_among(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """``hosts`` with whether each is in the table ``listed`` (column ``host``, any case), itself or by a domain above it."""
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    every = listed.where("host IS NOT NULL AND host <> ''").select(F.translate("host", UPPER, LOWER).alias("_domain")).distinct()
+    found = hosts.select("host", F.explode(above).alias("_domain")).join(every, "_domain").select("host").distinct().withColumn("_listed", F.lit(True))
+    return hosts.join(found, "host", "left").select("host", F.coalesce("_listed", F.lit(False)).alias("_listed"))
+
+
+def judge(pages: DataFrame, listed: DataFrame | Column | None = None, rules: tuple = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict. ``listed``: a table of hosts, or a condition on the column ``host``."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    condition = F.col("host").rlike(LISTED_PATTERN) if listed is None else listed
-    universe = settle(parsed.select("host").distinct().withColumn("_listed", F.coalesce(condition, F.lit(False))), "hosts")
+    hosts = parsed.select("host").distinct()
+    if isinstance(listed, DataFrame):
+        universe = listed_among(hosts, listed)
+    else:
+        universe = hosts.withColumn("_listed", F.coalesce(F.col("host").rlike(LISTED_PATTERN) if listed is None else listed, F.lit(False)))
+    universe = settle(universe, "hosts")
     levels = build_cascade(universe, "host", "_listed")
     if levels is None:
         parsed = parsed.join(universe, "host")
