@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import settle, table, text_or_empty
+from cairn.llm.shared import settle, table, text_or_empty, unused
 from cairn.llm.words import words
 
 WINDOW, RAREST, BLOCK_WORDS = 13, 2, 200_000
@@ -213,8 +213,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_or_empty()) == F.col("_bad_key")), "left_anti")
+    id_, key = unused(docs, "id", "key")
+    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(id_), F.col("doc_key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(key)), "left_anti")
 
 
 #: The contract in SQL: every window of every document against the windows of the items.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import hex_draw, settle, table, text_or_empty
+from cairn.llm.shared import hex_draw, settle, table, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, BINS = 1.5, 2, 4096
@@ -111,19 +111,20 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Documents of size 0 cost no budget and come and go by their keys alone.
     """
     key = ["doc_id", "source", "crc"]
-    pooled = mixed.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    pooled = pooled.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies", "_rows")
+    held_id, held_source, held_crc, copies, n_rows, nth, times, time = unused(docs, "doc_id", "source", "crc", "copies", "rows", "nth", "times", "time")
+    pooled = mixed.groupBy(*key).agg(F.sum("copies").alias(copies), F.count("*").alias(n_rows)).where(F.col(copies) > 0)
+    pooled = pooled.select(*[F.col(c).alias(name) for c, name in zip(key, (held_id, held_source, held_crc), strict=True)], copies, n_rows)
     crc = F.crc32(text_or_empty().cast("binary"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (crc == F.col("_crc"))
+    same = F.col("doc_id").eqNullSafe(F.col(held_id)) & F.col("source").eqNullSafe(F.col(held_source)) & (crc == F.col(held_crc))
     held = docs.join(pooled.hint("shuffle_hash"), same)
-    alike = W.partitionBy("_doc_id", "_source", "_crc").orderBy(F.lit(1))
+    alike = W.partitionBy(held_id, held_source, held_crc).orderBy(F.lit(1))
     if mixed.groupBy(*key).count().where("count > 1").isEmpty():
-        times = F.col("_copies")
+        due = F.col(copies)
     else:
-        held = held.withColumn("_nth", F.row_number().over(alike))
-        times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
-    held = held.withColumn("_times", times).where("_times > 0")
-    return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+        held = held.withColumn(nth, F.row_number().over(alike))
+        due = F.floor(F.col(copies) / F.col(n_rows)) + (F.col(nth) <= F.col(copies) % F.col(n_rows)).cast("long")
+    held = held.withColumn(times, due).where(F.col(times) > 0)
+    return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)).drop(time)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

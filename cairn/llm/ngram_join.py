@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import settle, table, text_or_empty
+from cairn.llm.shared import settle, table, text_or_empty, unused
 from cairn.llm.words import words
 
 RUN, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 5, 16, 1e-6
@@ -283,17 +283,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of ``docs``; texts without words all stay."""
+    id_, own, one = unused(docs, "id", "key", "one")
     judged = settle(join(docs), "classes")
-    dropped = judged.where("NOT keeper").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("text_key").alias(own))
     key = F.xxhash64(text_or_empty())
-    kept = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
-    twice = judged.where("keeper AND n_links > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(own))
+    kept = docs.join(named(judged.where("NOT keeper")).distinct(), same, "left_anti")
+    twice = named(judged.where("keeper AND n_links > 0").groupBy("doc_id", "text_key").count().where("count > 1"))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
-    once = kept.join(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
-    one = again.withColumn("_one", key).dropDuplicates(["doc_id", "_one"]).drop("_one")
-    return once.unionByName(one)
+    again, once = kept.join(twice, same, "left_semi"), kept.join(twice, same, "left_anti")
+    return once.unionByName(again.withColumn(one, key).dropDuplicates(["doc_id", one]).drop(one))
 
 
 #: doc_id must be unique in the table. All shared runs are counted, which suits small tables alone.
