@@ -7,6 +7,14 @@ from corpus_helpers import prose
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def few_cells(monkeypatch):
+    """A small table of token counts, which a small corpus does not fill."""
+    from cairn.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "CELL_BITS", 12)
+
+
 @pytest.fixture(scope="session")
 def corpus():
     """(doc_id, text, source): prose, copies, near copies, nulls, empty and very long texts, repeated rows."""
