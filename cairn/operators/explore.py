@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.quality import stacked
+from cairn.operators.ranking import column_quantiles
 
 
 def band(x: Column, edges: list, closed: str = "left") -> Column:
@@ -22,8 +23,8 @@ def band(x: Column, edges: list, closed: str = "left") -> Column:
 
 def quantile_bins(df: DataFrame, column: str, target: str, bins: int) -> DataFrame:
     """bin, n, rate by quantile edges of column; a bin holds its upper edge, the first holds both."""
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(column, steps)).alias("edges")).withColumn("_one", F.lit(1))
+    found = column_quantiles(df, [column], [i / bins for i in range(bins + 1)])
+    edges = found.select(F.array_distinct("quantiles").alias("edges"), F.lit(1).alias("_one"))
     rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")
     at = F.size(F.filter("edges", lambda e: e < F.col(column))) - 1
     return rows.groupBy(F.when(at < 0, 0).otherwise(at).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(target).alias("rate"))

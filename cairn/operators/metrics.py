@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import clip_high, clip_low, clipped_logit
-from cairn.operators.ranking import number_rows, running_sums
+from cairn.operators.ranking import number_rows, quantiles, running_sums
 
 EPS = 2.220446049250313e-16
 BOOTSTRAP_METRICS = ("roc_auc", "average_precision", "log_loss", "brier_score")
@@ -83,13 +83,13 @@ def proper_scores(df: DataFrame, by: list[str], w: str | None = None) -> DataFra
 
 def bin_edges(df: DataFrame, by: list[str], bins: int, strategy: str) -> DataFrame:
     steps = [i / bins for i in range(bins + 1)]
+    found = df.groupBy(*by).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
     if strategy == "quantile":
-        edges = F.array_sort(F.array_distinct(F.percentile("p", F.array(*[F.lit(s) for s in steps]))))
+        found = found.join(quantiles(df, by, "p", steps), by, "left").withColumn("edges", F.array_sort(F.array_distinct("quantiles")))
     elif strategy == "uniform":
-        edges = F.array(*[F.lit(s) for s in steps])
+        found = found.withColumn("edges", F.array(*[F.lit(s) for s in steps]))
     else:
         raise ValueError("strategy is quantile or uniform")
-    found = df.groupBy(*by).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"), edges.alias("edges")) if strategy == "quantile" else df.groupBy(*by).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi")).withColumn("edges", edges)
     return found.select(*by, F.when(F.size("edges") < 2, F.array("_lo", F.col("_hi") + 1e-12)).otherwise(F.col("edges")).alias("edges"))
 
 
@@ -134,9 +134,10 @@ def calibration_line(df: DataFrame, y: str = "y", p: str = "p", eps: float = 1e-
 def metric_table(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """One row for each group with counts, references, ranking, proper scores, calibration error and the spread of p."""
     spread = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("y").cast("long").alias("n_positive"), F.avg("p").alias("mean_predicted_probability"), F.percentile("p", F.lit(0.5)).alias("median_predicted_probability"), F.max("p").alias("max_predicted_probability"),
+        F.count("*").alias("n"), F.sum("y").cast("long").alias("n_positive"), F.avg("p").alias("mean_predicted_probability"), F.max("p").alias("max_predicted_probability"),
     )
-    out = spread
+    middle = quantiles(df, by, "p", [0.5]).select(*by, F.col("quantiles")[0].alias("median_predicted_probability"))
+    out = spread.join(middle, by, "left").select(*by, "n", "n_positive", "mean_predicted_probability", "median_predicted_probability", "max_predicted_probability")
     for part in (proper_scores(df, by), roc_auc(df, by), average_precision(df, by), expected_calibration_error(calibration_table(df, by, bins), by)):
         out = out.join(part, by)
     return out.withColumn("average_precision_prevalence_baseline", F.col("prevalence"))
@@ -203,22 +204,28 @@ def poisson_weights(rows: DataFrame, key: str, replicates: int, seed: int) -> Da
         total += term
         below = below + (u >= F.lit(total)).cast("int")
         term /= k
-    return rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", below)
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", below.cast("long"))
 
 
 def weighted_metrics(df: DataFrame, by: list[str], w: str = "w") -> DataFrame:
     return roc_auc(df, by, w).join(average_precision(df, by, w), by).join(proper_scores(df, by, w).select(*by, "log_loss", "brier_score"), by)
 
 
-def bootstrap_replicates(predictions: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+def bootstrap_replicates(predictions: DataFrame, key: str, replicates: int, seed: int, draws: str = "exact") -> DataFrame:
     """rep, model and the four metrics. predictions: key, y, model, p. All models of a replicate share its draws.
 
-    A replicate that draws one class alone is scored with weights of one.
+    draws: ``exact`` ones with replacement, or ``poisson``: independent counts for each row, which need no numbering and
+    no shuffle of draws. A replicate that draws one class alone is scored with weights of one.
     """
     spark = predictions.sparkSession
-    rows = number_rows(predictions.select(key, "y").distinct(), key)
-    n = rows.count()
-    weights = draw_weights(n, replicates, seed, spark).join(rows, "row")
+    rows = predictions.select(key, "y").distinct()
+    if draws == "poisson":
+        weights = poisson_weights(rows, key, replicates, seed).where("w > 0")
+    elif draws == "exact":
+        rows = number_rows(rows, key)
+        weights = draw_weights(rows.count(), replicates, seed, spark).join(rows, "row")
+    else:
+        raise ValueError("draws are exact or poisson")
     single = weights.groupBy("rep").agg((F.min("y") == F.max("y")).alias("_single")).where("_single").select("rep")
     drawn = weights.join(single, "rep", "left_anti").select("rep", key, "w")
     unit = single.withColumn("_one", F.lit(1)).join(rows.withColumn("_one", F.lit(1)), "_one").select("rep", key, F.lit(1).cast("long").alias("w"))
@@ -230,7 +237,7 @@ def long_metrics(table: DataFrame, keys: list[str], names: tuple[str, ...] = BOO
     return table.select(*keys, F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in names]), F.array(*[F.col(m).cast("double") for m in names]))).alias("metric", "value"))
 
 
-def paired_bootstrap(predictions: DataFrame, key: str, reference: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def paired_bootstrap(predictions: DataFrame, key: str, reference: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95, draws: str = "exact") -> tuple[DataFrame, DataFrame]:
     """(models, differences). models: model, metric, estimate, ci_low, ci_high, bootstrap_mean, bootstrap_sd. differences: the
     same of model minus base for each model against the reference and for each pair of the others, in order of name,
     with fraction_improving and ci_excludes_zero.
@@ -238,7 +245,7 @@ def paired_bootstrap(predictions: DataFrame, key: str, reference: str, replicate
     if predictions.where(F.col("model") == reference).isEmpty():
         raise KeyError(reference)
     tail = (1 - confidence) / 2
-    reps = long_metrics(bootstrap_replicates(predictions, key, replicates, seed), ["rep", "model"])
+    reps = long_metrics(bootstrap_replicates(predictions, key, replicates, seed, draws), ["rep", "model"])
     point = long_metrics(weighted_metrics(predictions.withColumn("w", F.lit(1)), ["model"]), ["model"]).withColumnRenamed("value", "estimate")
 
     def summary(df: DataFrame, by: list[str], *more: Column) -> DataFrame:

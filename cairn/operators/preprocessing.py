@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import clip_high, clip_low, without_sentinel
 from cairn.operators.quality import SENTINELS, column_types, heavy_tails, missingness
+from cairn.operators.ranking import column_quantiles
 from cairn.sources.tables import ID, TARGET
 
 
@@ -45,12 +46,27 @@ def missing_groups(df: DataFrame, columns: list[str]) -> list[list[str]]:
     return sorted(out, key=lambda g: columns.index(g[0]))
 
 
+#: Levels of all columns together that a fit collects at most; a column of names or ids is no category.
+MOST_LEVELS = 100_000
+
+
+def collected_levels(levels: DataFrame) -> dict[str, list[str]]:
+    """The sorted levels (column, v) by column; raises if there are more than ``MOST_LEVELS`` of them."""
+    found = levels.select("column", "v").limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels of categorical columns")
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(r.column, []).append(r.v)
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def vocabulary(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """The sorted levels of each column."""
+    """The sorted levels of each column, from one aggregation over all of them."""
     if not columns:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-    return {c: list(row[c]) for c in columns}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])
+    return {c: [] for c in columns} | collected_levels(df.select(F.inline(pairs)).where("v IS NOT NULL").distinct())
 
 
 @dataclass
@@ -86,8 +102,8 @@ class TreePreprocessor:
             self.tails = list(self.heavy_tail_columns)
         self.bounds = {}
         if self.heavy_tail == "winsorize" and self.tails:
-            found = rows.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in self.winsor])).alias(c) for c in self.tails]).first()
-            self.bounds = {c: tuple(found[c]) for c in self.tails if found[c] is not None}
+            found = {r.column: tuple(r.quantiles) for r in column_quantiles(rows, self.tails, list(self.winsor)).collect()}
+            self.bounds = {c: found[c] for c in self.tails if c in found}
         self.groups = []
         if self.missing_indicators != "none" and self.numeric:
             gaps = {r.column for r in missingness(rows, self.numeric).where("n_missing > 0").collect()}
@@ -141,17 +157,19 @@ class LinearPreprocessor:
             raise ValueError("no features")
         self.medians, self.gappy, self.scale = {}, [], {}
         if self.numeric:
-            found = rows.agg(*[f for c in self.numeric for f in (F.percentile(c, F.lit(0.5)).alias(f"m_{c}"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}"))]).first()
-            self.medians = {c: 0.0 if found[f"m_{c}"] is None else float(found[f"m_{c}"]) for c in self.numeric}
-            self.gappy = [c for c in self.numeric if found[f"n_{c}"]]
+            found = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in self.numeric]).first()
+            self.gappy = [c for c in self.numeric if found[c]]
+            middle = {r.column: r.quantiles[0] for r in column_quantiles(rows, self.numeric, [0.5]).collect()}
+            self.medians = {c: middle.get(c, 0.0) for c in self.numeric}
             filled = self._filled(rows)
             names = [*self.numeric, *(f"missing_{c}" for c in self.gappy)]
             found = filled.agg(*[f for c in names for f in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
             self.scale = {c: (found[f"m_{c}"], found[f"s_{c}"] or 1.0) for c in names}
         self.levels = {}
-        for c in self.categorical:
-            counts = rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(self.missing_level)).alias("v")).count().where(F.col("count") >= self.min_frequency)
-            self.levels[c] = sorted(r.v for r in counts.collect())
+        if self.categorical:
+            pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(self.missing_level)).alias("v")) for c in self.categorical])
+            counts = rows.select(F.inline(pairs)).groupBy("column", "v").count().where(F.col("count") >= self.min_frequency)
+            self.levels = {c: [] for c in self.categorical} | collected_levels(counts)
         self.features = [*self.scale, *(f"{c}={v}" for c in self.categorical for v in self.levels[c])]
         return self
 

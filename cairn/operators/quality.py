@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cairn.functions import plain_flag
 from cairn.operators.metrics import roc_auc
+from cairn.operators.ranking import column_quantiles
 from cairn.sources.tables import ID, TARGET
 
 # Texts that stand for unknown levels, and name parts that hint at knowledge after the outcome.
@@ -125,9 +126,10 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, n_missing, n_negative, n_zero, min, median, q99, max of numeric columns; quantiles interpolate linearly."""
     found = stacked(df, columns, {
         "n": lambda c: F.count("*"), "n_missing": lambda c: F.sum(F.col(c).isNull().cast("long")), "n_negative": lambda c: F.sum(plain_flag(F.col(c) < 0)), "n_zero": lambda c: F.sum(plain_flag(F.col(c) == 0)),
-        "min": lambda c: F.min(c).cast("double"), "_q": lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.99))), "max": lambda c: F.max(c).cast("double"),
+        "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
     })
-    return found.select("column", "n", "n_missing", "n_negative", "n_zero", "min", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("q99"), "max")
+    found = found.join(column_quantiles(df, columns, [0.5, 0.99]), "column", "left")
+    return found.select("column", "n", "n_missing", "n_negative", "n_zero", "min", F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("q99"), "max")
 
 
 def sample_skewness(c: str):
@@ -152,8 +154,9 @@ def suspicious_values(df: DataFrame, sentinels: dict | None = None, ratio: float
     if numeric:
         found = stacked(df, numeric, {
             "positive": lambda c: F.sum(plain_flag(F.col(c) > 0)), "negative": lambda c: F.sum(plain_flag(F.col(c) < 0)), "sentinel": lambda c: F.sum(plain_flag(F.col(c) == sentinels[c])) if c in sentinels else F.lit(None).cast("long"),
-            "known": lambda c: F.count(c), "q99": lambda c: F.percentile(c, F.lit(0.99)), "max": lambda c: F.max(c).cast("double"),
+            "known": lambda c: F.count(c), "max": lambda c: F.max(c).cast("double"),
         })
+        found = found.join(column_quantiles(df, numeric, [0.99]), "column", "left").withColumn("q99", F.col("quantiles")[0])
         pick = lambda name, rows, n, detail=None: rows.select(F.lit(name).alias("finding"), "column", (F.lit("") if detail is None else detail).alias("detail"), F.col(n).cast("long").alias("n"))
         parts += [
             pick("positive_days", found.where(F.col("column").startswith("DAYS_") & (F.col("positive") > 0)), "positive"),

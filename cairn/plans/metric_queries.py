@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,23 @@ def q_bootstrap_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.withColumn("rep", F.col("rep").cast("long")))
 
 
+def _poisson(replicates: int) -> str:
+    """The same with independent counts: how many of the cumulated Poisson(1) probabilities a uniform draw reaches."""
+    steps = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k)) for k in range(1, 20)]
+    w = " + ".join(f"CAST(u >= {s!r}::DOUBLE AS INT)" for s in steps)
+    head, tail = _boot(replicates).split("draws AS (", 1)[0], _boot(replicates).split("g AS (", 1)[1]
+    return (
+        head + f"draws AS (SELECT rep, doc_id, y, CAST('0x' || substr(md5('42:' || rep || ':' || doc_id), 1, 12) AS BIGINT)::DOUBLE / 281474976710656::DOUBLE AS u FROM (SELECT unnest(range({replicates})) AS rep), ids), "
+        f"s AS (SELECT rep, model, m.y, p, {w} AS w FROM draws JOIN m USING (doc_id) WHERE u >= {steps[0]!r}::DOUBLE), g AS (" + tail
+    )
+
+
+@query(_poisson(REPLICATES) + " SELECT rep, model, round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision, round(log_loss, 9) AS log_loss, round(brier_score, 9) AS brier_score FROM reps")
+def q_bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.bootstrap_replicates(models(spark, sf_dir), "doc_id", REPLICATES, 42, "poisson")
+    return _rounded(found.withColumn("rep", F.col("rep").cast("long")))
+
+
 LONG_REPS = ", l AS (" + " UNION ALL ".join(f"SELECT rep, model, '{m}' AS metric, {m} AS value FROM reps" for m in metrics.BOOTSTRAP_METRICS) + ")"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import assemble, quality
 from cairn.operators.explore import band, coincide, crosstab, histogram, largest_z, quantile_bins, rate_by, top_rows
+from cairn.operators.ranking import column_quantiles
 from cairn.plans.quality_queries import COLUMNS, NUMERIC, WIDE, _union
 from cairn.plans.registry import query
 from cairn.plans.views import view
@@ -51,7 +52,9 @@ def q_crosstab_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WIDE + "SELECT quantile_cont(AMT_TOTAL, 0.01) AS q01, quantile_cont(AMT_TOTAL, 0.5) AS q50, quantile_cont(AMT_TOTAL, 0.99) AS q99, count(AMT_TOTAL) AS n, min(AMT_TOTAL) AS min, max(AMT_TOTAL) AS max, avg(AMT_TOTAL) AS mean, round(stddev_samp(AMT_TOTAL), 3) AS std FROM wide")
 def q_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = "AMT_TOTAL"
-    found = view(spark, sf_dir, "wide").agg(F.percentile(c, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"), F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.round(F.stddev_samp(c), 3).alias("std"))
+    rows = view(spark, sf_dir, "wide")
+    spread = column_quantiles(rows, [c], [0.01, 0.5, 0.99]).withColumnRenamed("quantiles", "q")
+    found = rows.agg(F.lit(c).alias("column"), F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.round(F.stddev_samp(c), 3).alias("std")).join(spread, "column")
     return found.select(F.col("q")[0].alias("q01"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q99"), "n", "min", "max", "mean", "std")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import audit, quality, split
 from cairn.operators.preprocessing import TreePreprocessor, clean, missing_groups, vocabulary
+from cairn.operators.ranking import column_quantiles
 from cairn.plans.registry import query
 from cairn.plans.views import ctes, view
 from cairn.sources.tables import ID, TARGET, verify_target
@@ -197,7 +198,7 @@ def q_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WIDE + "SELECT SK_ID_CURR, coalesce(AMT_TOTAL, (SELECT quantile_cont(AMT_TOTAL, 0.5) FROM wide)) AS amt_total, CASE WHEN AMT_TOTAL IS NULL THEN 1 ELSE 0 END AS missing_amt_total FROM wide")
 def q_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "wide")
-    median = rows.agg(F.percentile("AMT_TOTAL", F.lit(0.5))).first()[0]
+    median = column_quantiles(rows, ["AMT_TOTAL"], [0.5]).first().quantiles[0]
     return rows.select(ID, F.coalesce("AMT_TOTAL", F.lit(median)).alias("amt_total"), F.col("AMT_TOTAL").isNull().cast("int").alias("missing_amt_total"))
 
 
