@@ -7,6 +7,7 @@ filled out of range with an indicator. They stand in for boosters, and their sco
 from __future__ import annotations
 
 import json
+import math
 import time
 from dataclasses import dataclass, field, replace
 
@@ -31,6 +32,11 @@ class LinearModel:
     id_column: str = ID
     target: str = TARGET
 
+    @property
+    def penalty(self) -> str:
+        """What the fit is penalised by, as a label that does not depend on the library's parameters."""
+        return "none" if math.isinf(self.c) else "l2"
+
     def fit(self, df: DataFrame) -> LinearModel:
         began = time.time()
         self.preprocessor = LinearPreprocessor(id_column=self.id_column).fit(df.drop(self.target))

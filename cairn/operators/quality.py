@@ -103,6 +103,11 @@ def value_counts(df: DataFrame, column: str, k: int = 12) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
 
 
+def top_missing(table: DataFrame, k: int = 10) -> DataFrame:
+    """column, fraction: the k columns of ``missingness`` that miss most; ties in order of the table."""
+    return table.where("n_missing > 0").orderBy(F.desc("fraction"), "position").limit(k).select("column", "fraction")
+
+
 def constant_columns(df: DataFrame, share: float = 0.99) -> DataFrame:
     """column, n_unique, top_share of columns whose top value, missing ones counting in the whole, reaches ``share`` or that have one value at most."""
     values = long_values(df, df.columns)
@@ -197,7 +202,7 @@ def validate(df: DataFrame, target: str = TARGET, id_column: str = ID) -> dict:
     rows = lambda frame: [r.asDict() for r in frame.collect()]
     missing = missingness(features)
     return {
-        "overview": rows(overview(df, id_column))[0], "target": rows(target_summary(df, target))[0], "missingness": rows(missing.orderBy(F.desc("fraction"), "position")), "missingness_summary": rows(missingness_summary(missing))[0],
+        "overview": rows(overview(df, id_column))[0], "target": rows(target_summary(df, target))[0], "missingness": rows(missing.orderBy(F.desc("fraction"), "position")), "missingness_summary": rows(missingness_summary(missing))[0] | {"top": rows(top_missing(missing))},
         "constant": rows(constant_columns(features)), "cardinality": rows(cardinality(features)), "high_cardinality": rows(high_cardinality(features)), "suspicious": rows(suspicious_values(features)), "profile": rows(profile(features, numeric)),
         "leakage": leakage_screen(df, target, id_column),
     }

@@ -8,18 +8,33 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from cairn.operators.models import ChallengerSpec
+from cairn.operators.provenance import load_checkpoint, save_checkpoint
 
 MIN_GAIN = 5e-4
 
 
 @dataclass
 class TrialLog:
-    """Records of fits in order; the same specification is never fitted twice. Written as CSV after each if a path is given."""
+    """Records of fits in order; the same specification is never fitted twice.
+
+    If a path is given, the log is written after each fit as CSV, with a checkpoint beside it that names the run's ``context``.
+    """
 
     path: Path | None = None
     records: list[dict] = field(default_factory=list)
+    context: dict = field(default_factory=dict)
     _known: dict[str, dict] = field(default_factory=dict)
 
+    @property
+    def checkpoint(self) -> Path:
+        return Path(self.path).with_suffix(".json")
+
+    @classmethod
+    def resumed(cls, path: Path, context: dict) -> TrialLog:
+        """The log of a run that stopped, or an empty one; raises if its context or its CSV is not what the checkpoint says."""
+        state = load_checkpoint(Path(path).with_suffix(".json"), context, [path]) or {"records": []}
+        return cls(path, state["records"], context, {r["spec"]: r for r in state["records"]})
+
     def run(self, spec: ChallengerSpec, evaluate: Callable[[ChallengerSpec], dict], stage: str, about: str = "") -> dict:
         if (key := spec.key()) in self._known:
             return self._known[key]
@@ -31,6 +46,7 @@ class TrialLog:
                 writer = csv.DictWriter(out, sorted({k for r in self.records for k in r}))
                 writer.writeheader()
                 writer.writerows(self.records)
+            save_checkpoint(self.checkpoint, self.context, [self.path], {"records": self.records})
         return record
 
 

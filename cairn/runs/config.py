@@ -56,7 +56,7 @@ class Paths:
 
     @property
     def membership(self) -> str:
-        return str(self.root / "membership.csv")
+        return f"{self.tables or self.root / 'tables'}/membership.parquet"
 
     def metrics(self, name: str) -> Path:
         return self.root / "metrics" / f"{name}.json"

@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
 import time
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from cairn.operators.quality import validate
 from cairn.operators.split import frozen_split, stratified_split
 from cairn.runs.build import load_source_table
 from cairn.runs.config import QUICK, Paths, RunConfig, run_metadata
-from cairn.sources.sinks import publish_json, write_report
+from cairn.sources.sinks import publish_json, write_report, write_table
 from cairn.sources.tables import read_application
 
 
@@ -35,10 +37,13 @@ def scored(predictions: DataFrame, rows: DataFrame, config: RunConfig) -> DataFr
 def membership(df: DataFrame, config: RunConfig, paths: Paths) -> DataFrame:
     """The stored split, or a new one that is stored first."""
     spark = df.sparkSession
-    if not Path(paths.membership).exists():
-        write_report(stratified_split(df, config.test_size, config.seed, config.id_column, config.target), paths.membership, [config.id_column])
-    stored = spark.read.option("header", True).csv(paths.membership)
-    return stored.select(F.col(config.id_column).cast(df.schema[config.id_column].dataType).alias(config.id_column), "split")
+    try:
+        return spark.read.parquet(paths.membership)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_table(stratified_split(df, config.test_size, config.seed, config.id_column, config.target), paths.membership)
+    return spark.read.parquet(paths.membership)
 
 
 #: What a fitted ``LinearPreprocessor`` has learned.
@@ -54,9 +59,9 @@ def run_baseline(df: DataFrame, config: RunConfig, paths: Paths) -> dict:
     model.model.write().overwrite().save(paths.model("logistic_regression"))
     publish_json({name: getattr(model.preprocessor, name) for name in PREPROCESSOR}, paths.metrics("baseline_preprocessor"))
     parts = {name: scored(model.predict(rows), rows, config).cache() for name, rows in (("train", train), ("test", test))}
-    out = {f"metrics_{name}": metrics.metric_bundle(p, config.bins) for name, p in parts.items()} | {"converged": model.converged, "iterations": model.iterations, "fit_seconds": round(model.seconds, 1), "config": config.to_dict(), "run": run_metadata(began)}
+    out = {f"metrics_{name}": metrics.metric_bundle(p, config.bins) for name, p in parts.items()} | {"converged": model.converged, "iterations": model.iterations, "penalty": model.penalty, "fit_seconds": round(model.seconds, 1), "config": config.to_dict(), "run": run_metadata(began)}
     publish_json(out, paths.metrics("baseline"))
-    write_report(parts["test"].select(config.id_column, "y", "p"), paths.report("baseline_predictions"), [config.id_column])
+    write_table(parts["test"].select(config.id_column, "y", "p"), paths.report("baseline_predictions"))
     one = metrics.as_model(parts["test"])
     for name, table in (("roc", metrics.roc_points(one, ["model"])), ("pr", metrics.pr_points(one, ["model"])), ("calibration", metrics.calibration_table(one, ["model"], config.bins)), ("histogram", metrics.score_histogram(one, ["model"]))):
         write_report(table, paths.report(f"baseline_{name}"))
@@ -135,15 +140,29 @@ def final_stage(df: DataFrame, train: DataFrame, test: DataFrame, spec: Challeng
     boot, differences = metrics.paired_bootstrap(rows, config.id_column, "logistic_regression", config.replicates, config.seed)
     importance = models[name].importance(assemble.source_of)
     out = {"spec": spec.to_dict(), "n_trees": models[name].n_trees, "metrics": [r.asDict() for r in table.collect()], "bootstrap": [r.asDict() for r in boot.collect()], "differences": [r.asDict() for r in differences.collect()], "importance": importance}
-    publish_json(out, paths.metrics(name))
+    publish_json(out | {"digest": fingerprint(out)}, paths.metrics(name))
     return out
 
 
-def run_challengers(df: DataFrame, config: RunConfig, paths: Paths, name: str = "boosted_trees") -> dict:
+def reload_final(paths: Paths, name: str = "boosted_trees") -> dict:
+    """What ``final_stage`` recorded, without any fit; raises if it was not recorded whole or is no longer what was recorded."""
+    try:
+        held = json.loads(paths.metrics(name).read_text())
+    except (FileNotFoundError, json.JSONDecodeError) as e:
+        raise ValueError(f"{name} has no final record") from e
+    if held.pop("digest", None) != fingerprint(held):
+        raise ValueError(f"the final record of {name} was changed")
+    return held
+
+
+def run_challengers(df: DataFrame, config: RunConfig, paths: Paths, name: str = "boosted_trees", resume: bool = False) -> dict:
+    """Selection on train, the lock, and the locked challenger on test. With ``resume``, trials that a stopped run has logged are not fitted again."""
     began = time.time()
     train, test = (part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, config.id_column, config.target))
     reference = reference_verified(train, test, config, paths)
-    spec, record = select_challenger(train, config, selection.TrialLog(paths.trials))
+    context = {"rows": content_digest(train), "config": fingerprint(config.to_dict())}
+    log = selection.TrialLog.resumed(paths.trials, context) if resume else selection.TrialLog(paths.trials, context=context)
+    spec, record = select_challenger(train, config, log)
     publish_json({"spec": spec.to_dict(), "validation": record, "config": config.to_dict()}, paths.lock)
     return final_stage(df, train, test, spec, config, paths, name) | {"reference": reference, "run": run_metadata(began)}
 
@@ -165,11 +184,15 @@ def retune(fit: DataFrame, valid: DataFrame, spec: ChallengerSpec, config: RunCo
 
 
 def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfig, paths: Paths, resume: bool = False) -> dict:
-    """Ablation grid on the inner split, backward elimination, retuning on the retained sources, then their final model. A run that stops goes on at the last configuration done."""
+    """Ablation grid on the inner split, backward elimination, retuning on the retained sources, then their final model. A run that stops goes on at the last configuration done.
+
+    Test rows get their histories only after the final specification is locked in a file.
+    """
     began, sources, key, target = time.time(), tuple(tables), config.id_column, config.target
-    matrix = assemble.build_matrix(df.drop(target), tables, key).join(df.select(key, target), key).cache()
-    train, test = (part.cache() for part in frozen_split(matrix, membership(df, config, paths), config.test_size, config.seed, key, target))
-    reference = reference_verified(*(part.select(*df.columns) for part in (train, test)), config, paths)
+    applied = [part.cache() for part in frozen_split(df, membership(df, config, paths), config.test_size, config.seed, key, target)]
+    reference = reference_verified(*applied, config, paths)
+    with_history = lambda part: assemble.build_matrix(part.drop(target), tables, key).join(part.select(key, target), key).cache()
+    train = matrix = with_history(applied[0])
     inner = stratified_split(train, config.validation_size, config.seed, key, target)
     fit, valid = (train.join(inner.where(F.col("split") == s), key).drop("split").cache() for s in ("train", "test"))
     held = json.loads(paths.lock.read_text()) if paths.lock.exists() else None
@@ -201,7 +224,7 @@ def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfi
     for name, _, subset in selection.ablation_configs(sources):
         if name not in records:
             evaluate(subset)
-    write_report(df.sparkSession.createDataFrame([{"name": n, "log_loss": float(r["log_loss"]), "roc_auc": float(r["roc_auc"]), "n_features": int(r["n_features"])} for n, r in records.items()]), paths.report("ablation"), ["name"])
+    write_report(df.sparkSession.createDataFrame([{"name": n, "log_loss": float(r["log_loss"]), "roc_auc": float(r["roc_auc"]), "n_features": int(r["n_features"])} for n, r in records.items()], "name string, log_loss double, roc_auc double, n_features int"), paths.report("ablation"), ["name"])
     kept = selection.backward_elimination(sources, cost)
     retained = columns(tuple(kept["retained"]))
     chosen = {"spec": spec.to_dict(), "retained": kept["retained"], "rounds": kept["rounds"]}
@@ -209,7 +232,8 @@ def run_relational(df: DataFrame, tables: dict[str, DataFrame], config: RunConfi
     tuned, record = retune(fit.select(*retained), valid.select(*retained), spec, config, paths, context | {"retained": kept["retained"]}, resume)
     chosen["retune"] = {"locked": tuned.to_dict(), "validation": record, "axes": config.retune_axes}
     publish_json(chosen, paths.metrics("relational_selection"))
-    final = final_stage(matrix, train.select(*retained), test.select(*retained), tuned, config, paths, "boosted_trees_relational")
+    publish_json({"spec": tuned.to_dict(), "retained": kept["retained"], "config": config.to_dict()}, paths.metrics("relational_lock"))
+    final = final_stage(matrix, train.select(*retained), with_history(applied[1]).select(*retained), tuned, config, paths, "boosted_trees_relational")
     return final | {"retained": kept["retained"], "reference": reference, "retune": chosen["retune"], "records": records, "run": run_metadata(began)}
 
 
@@ -223,17 +247,24 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--quick", action="store_true")
     parser.add_argument("--resume", action="store_true")
     parser.add_argument("--rows", type=int)
+    parser.add_argument("--bootstrap", type=int, help="replicates of the final intervals")
     given = parser.parse_args(args)
+    if given.stage == "relational" and not given.raw:
+        parser.error("relational needs --raw")
     spark = SparkSession.builder.appName(given.stage).getOrCreate()
     config, paths = QUICK if given.quick else RunConfig(), Paths(Path(given.out_dir))
+    if given.bootstrap:
+        config = dataclasses.replace(config, replicates=given.bootstrap)
     try:
         df = read_application(spark, given.application, rows=given.rows)
         if given.stage == "relational":
-            tables = {s: load_source_table(spark, s, given.raw, paths) for s in given.sources.split(",")}
+            tables = {s: load_source_table(spark, s, given.raw, paths, given.rows) for s in given.sources.split(",")}
             run_relational(df, tables, config, paths, given.resume)
+        elif given.stage == "challengers":
+            run_challengers(df, config, paths, resume=given.resume)
         else:
-            (run_baseline if given.stage == "baseline" else run_challengers)(df, config, paths)
-    except FileNotFoundError as e:
+            run_baseline(df, config, paths)
+    except (FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

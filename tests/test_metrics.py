@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cairn.operators import metrics as M
-from cairn.operators import quality, selection, split
+from cairn.operators import preprocessing, quality, ranking, selection, split
 from cairn.operators.models import Challenger, ChallengerSpec, LinearModel
 from cairn.operators.preprocessing import LinearPreprocessor, TreePreprocessor, missing_groups
 from cairn.plans import QUERIES
@@ -13,6 +13,26 @@ from cairn.plans import QUERIES
 TIES = [(0, 0.1), (0, 0.3), (1, 0.3), (1, 0.8), (0, 0.2), (1, 0.9), (0, 0.3)]
 
 
+def test_quantiles_are_those_of_numpy(spark):
+    rng = np.random.default_rng(4)
+    data = {"a": rng.standard_normal(501).tolist(), "b": [1.0] * 400 + [2.0] * 3, "c": rng.integers(0, 5, 300).astype(float).tolist() + [1e12, -1e12], "d": [7.0], "e": [None, float("nan")], "f": [float("inf"), 1.0, 2.0, 3.0, float("-inf")]}
+    rows = spark.createDataFrame([(g, x) for g, xs in data.items() for x in [*xs, None]], "g string, x double").repartition(3)
+    steps = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    found = {r.g: list(r.quantiles) for r in ranking.quantiles(rows, ["g"], "x", steps).collect()}
+    assert set(found) == set("abcdf") and all(found[g] == pytest.approx(np.quantile(data[g], steps).tolist(), rel=1e-12) for g in "abcd")
+    assert found["f"][0] == float("-inf") and found["f"][3] == 2.0 and found["f"][5] == float("inf")
+    whole = {r.column: r.quantiles[0] for r in ranking.column_quantiles(rows.where("g = 'a'"), ["x"], [0.5]).collect()}
+    assert whole == {"x": found["a"][3]}
+
+
+def test_levels_have_a_limit(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"n{i}", "x") for i in range(30)], "SK_ID_CURR int, NAME string, KIND string")
+    assert preprocessing.vocabulary(df, ["NAME", "KIND"])["KIND"] == ["x"]
+    monkeypatch.setattr(preprocessing, "MOST_LEVELS", 30)
+    with pytest.raises(ValueError, match="levels"):
+        preprocessing.vocabulary(df, ["NAME", "KIND"])
+
+
 def frame(spark, rows):
     return M.as_model(spark.createDataFrame([(i, int(y), float(p)) for i, (y, p) in enumerate(rows)], "id long, y int, p double"))
 

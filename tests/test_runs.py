@@ -83,6 +83,48 @@ def test_relational_retunes_and_verifies_the_baseline(spark, tmp_path, monkeypat
         experiments.run_relational(df, {"pos": history}, config.QUICK, paths)
 
 
+def test_challengers_resume_and_reload(spark, tmp_path, monkeypatch):
+    paths, df, fits = config.Paths(tmp_path), applications(spark, 200).cache(), []
+
+    def evaluator(stop):
+        def evaluate(spec):
+            if len(fits) == stop:
+                raise InterruptedError
+            fits.append(spec.key())
+            return {"val_log_loss": 0.5 + 0.01 * len(fits), "n_trees": 2, "early_stopped": True}
+
+        return lambda *_: evaluate
+
+    monkeypatch.setattr(experiments, "evaluator", evaluator(2))
+    with pytest.raises(InterruptedError):
+        experiments.run_challengers(df, config.QUICK, paths)
+    assert not paths.lock.exists() and len(json.loads(paths.trials.with_suffix(".json").read_text())["state"]["records"]) == 2
+    monkeypatch.setattr(experiments, "evaluator", evaluator(None))
+    out = experiments.run_challengers(df, config.QUICK, paths, resume=True)
+    assert len(fits) == len(set(fits)) == 6 and out["n_trees"] == 2 and out["spec"] == json.loads(paths.lock.read_text())["spec"]
+    held = experiments.reload_final(paths)
+    assert held["metrics"] == json.loads(json.dumps(out["metrics"])) and {m["model"] for m in held["metrics"]} == {"logistic_regression", "boosted_trees"}
+    paths.metrics("boosted_trees").write_text(paths.metrics("boosted_trees").read_text().replace('"n_trees": 2', '"n_trees": 3'))
+    with pytest.raises(ValueError, match="changed"):
+        experiments.reload_final(paths)
+    with pytest.raises(ValueError, match="another run"):
+        selection.TrialLog.resumed(paths.trials, {"rows": "others"})
+
+
+def test_relational_locks_before_test_rows_get_histories(spark, tmp_path, monkeypatch):
+    paths, df = config.Paths(tmp_path), applications(spark, 100).cache()
+    history = df.select("SK_ID_CURR", (F.col("SK_ID_CURR") % 7).cast("float").alias("pos__count"))
+    build_matrix, locked = experiments.assemble.build_matrix, []
+    monkeypatch.setattr(experiments.assemble, "build_matrix", lambda part, *more: locked.append((part.count(), paths.metrics("relational_lock").exists())) or build_matrix(part, *more))
+    monkeypatch.setattr(experiments, "evaluator", lambda *_: lambda spec: {"val_log_loss": 0.5, "n_trees": 2, "early_stopped": True})
+    monkeypatch.setattr(experiments, "final_stage", lambda df, train, test, spec, *more: {"rows": (train.count(), test.count())})
+    monkeypatch.setattr(experiments.selection, "ablation_configs", lambda sources: [])
+    assert experiments.run_relational(df, {"pos": history}, config.QUICK, paths)["rows"] == (80, 20) and locked == [(80, False), (20, True)]
+    with pytest.raises(SystemExit):
+        experiments.main(["relational", "a.csv", str(tmp_path)])
+    assert experiments.main(["baseline", str(tmp_path / "none.csv"), str(tmp_path)]) == 2
+
+
 def test_missing_indicators_must_gain(spark, monkeypatch):
     for gain, want in ((4e-4, "none"), (6e-4, "all")):
         loss = {"none": 0.5, "all": 0.5 - gain, "deduplicated": 0.6}
