@@ -49,6 +49,12 @@ class TrialLog:
             save_checkpoint(self.checkpoint, self.context, [self.path], {"records": self.records})
         return record
 
+    def of_stage(self, prefix: str = "") -> list[dict]:
+        """The records of the stages that start with ``prefix``; ``best`` marks those of the lowest validation log loss among them."""
+        chosen = [r for r in self.records if r["stage"].startswith(prefix)]
+        least = min((r["val_log_loss"] for r in chosen), default=None)
+        return [r | {"best": r["val_log_loss"] == least} for r in chosen]
+
 
 def coordinate_search(base: ChallengerSpec, axes, evaluate: Callable[[ChallengerSpec], dict], log: TrialLog) -> tuple[ChallengerSpec, dict]:
     """Sweep one axis after another from the best so far; a value is taken only if it lowers ``val_log_loss``."""

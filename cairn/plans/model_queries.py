@@ -53,7 +53,7 @@ def q_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_importance_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = parts(spark, sf_dir)
     rows = Challenger(SMALL).fit(train).importance(assemble.source_of)
-    return spark.createDataFrame(rows, "source string, gain double, splits int, share double, used int, top array<string>").drop("top")
+    return spark.createDataFrame(rows, "source string, gain double, splits int, share double, used int, top array<string>").withColumn("top", F.array_join("top", ","))
 
 
 @query()

@@ -125,6 +125,14 @@ def test_relational_locks_before_test_rows_get_histories(spark, tmp_path, monkey
     assert experiments.main(["baseline", str(tmp_path / "none.csv"), str(tmp_path)]) == 2
 
 
+def test_trials_of_a_stage():
+    log = selection.TrialLog()
+    for n, (stage, loss) in enumerate((("initial", 0.5), ("search:max_depth", 0.4), ("search:seed", 0.3), ("ablation:heavy_tail", 0.2))):
+        log.run(ChallengerSpec(seed=n), lambda _, loss=loss: {"val_log_loss": loss}, stage)
+    assert [(r["trial"], r["best"]) for r in log.of_stage("search")] == [(1, False), (2, True)] and [r["trial"] for r in log.of_stage() if r["best"]] == [3]
+    assert log.of_stage("none") == [] and "best" not in log.records[0]
+
+
 def test_missing_indicators_must_gain(spark, monkeypatch):
     for gain, want in ((4e-4, "none"), (6e-4, "all")):
         loss = {"none": 0.5, "all": 0.5 - gain, "deduplicated": 0.6}
