@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import settle, table, text_or_empty, unused
+from cairn.llm.shared import discard, join_per_key, settle, table, text_or_empty, unused
 from cairn.llm.words import words
 
 RUN, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 5, 16, 1e-6
@@ -193,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: connected components of edges (u, v) by alternating stars; root is the smallest node. No isolated nodes.
 
     Each round points neighbours at the smallest one (large star, then small star) until the edges stay as they are,
-    which takes a number of rounds that grows with the logarithm of the nodes.
+    which takes a number of rounds that grows with the logarithm of the nodes. The hub of a star may have a share of all
+    edges: what is known of it goes to them, not they to it.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     known = None
@@ -201,14 +202,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == known:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        known = state
+        known, n = state, state[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_per_key(both, low, "u", 2 * n, F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_per_key(large, least, "u", n, F.col("v"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
-        edges = settle(small.distinct(), "edges")
+        before, edges = edges, settle(small.distinct(), "edges")
+        discard(before)
 
 
 def _compare(memo: WordHash):
@@ -252,9 +254,9 @@ def join(docs: DataFrame) -> DataFrame:
     hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     edges = banded.join(hubs, "band").where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
     groups = components(edges)
-    members = keys.select("key", "rep", "copies", "size").join(groups, F.col("key") == F.col("node")).drop("node")
-    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = settle(members.join(totals, "root"), "members")
+    grouped = keys.select("key", "rep", "copies", "size").join(groups, F.col("key") == F.col("node")).drop("node")
+    totals, n_keys = grouped.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")), keys.count()
+    members = settle(join_per_key(grouped, totals, "root", n_keys, F.col("key")), "members")
     packs = max(int(members.where("blocks = 1").agg(F.sum("size")).first()[0] or 0) // BLOCK + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).cast("int")
     placed = members.select("key", "copies", F.when(F.col("blocks") > 1, F.col("root")).alias("cut"), block.alias("block"), "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"))
@@ -270,9 +272,11 @@ def join(docs: DataFrame) -> DataFrame:
         summed = found.where("cut").groupBy("key").agg(F.sum("links").alias("links"))
         whole = whole.unionByName(summed.join(roots, F.col("key") == F.col("node")).select("key", "links", "root"))
     linked = settle(keys.select("key", "rep", "copies").join(whole.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "linked")
-    classes = linked.groupBy("root").agg(F.min("rep").alias("keeper"))
-    per_key = linked.join(classes, "root").select("key", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    judged = rows.where("key IS NOT NULL").select("doc_id", "text_key", "key").join(per_key, "key").select("doc_id", "text_key", F.col("keeper.doc_id").alias("class_id"), "n_links", named.eqNullSafe(F.col("keeper")).alias("keeper"))
+    classes = linked.groupBy("root").agg(F.min("rep").alias("keeper"), F.count("*").alias("n"))
+    per_key = join_per_key(linked, classes, "root", n_keys, F.col("key")).select("key", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
+    per_key = settle(per_key, "key-classes")
+    spread = F.xxhash64("doc_id", "text_key").cast("string").cast("binary")
+    judged = join_per_key(rows.where("key IS NOT NULL").select("doc_id", "text_key", "key"), per_key, "key", rows.count(), spread).select("doc_id", "text_key", F.col("keeper.doc_id").alias("class_id"), "n_links", named.eqNullSafe(F.col("keeper")).alias("keeper"))
     alone = rows.where("key IS NULL").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keeper"))
     return judged.unionByName(alone)
 

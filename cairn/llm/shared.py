@@ -43,6 +43,24 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A key with more than one in ``CROWD`` of all rows is a crowd, so there are fewer than ``CROWD`` of them at any size.
+CROWD = 500
+
+
+def join_per_key(rows: DataFrame, per: DataFrame, on: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` joined with ``per``, which has one row a key and says in ``n`` how many of ``total`` rows hold it.
+
+    What is known of crowds is broadcast to their rows. These then take ``spread`` (of the key's type, with many values
+    within a crowd) for a key in the shuffle of the join, which finds them nothing that counts; so no task gets all of a crowd.
+    """
+    known = F.struct(*[c for c in per.columns if c not in (on, "n")])
+    crowds = F.broadcast(per.where(F.col("n") * CROWD > total).select(on, known.alias("_crowd")))
+    dealt = rows.join(crowds, on, "left").withColumn("_dealt", F.when(F.col("_crowd").isNull(), F.col(on)).otherwise(spread))
+    joined = dealt.join(per.select(F.col(on).alias("_dealt"), known.alias("_known")), "_dealt", "left")
+    found = joined.withColumn("_found", F.coalesce("_crowd", "_known")).where("_found IS NOT NULL")
+    return found.select(*rows.columns, "_found.*")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names with underscores before them, as many as it takes for none to be a column of ``df`` (case aside)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -399,6 +399,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 52: 50}
 
 
+def test_components_of_crowds(spark):
+    """Stars of a hub that is not the smallest node, joined to one another by chains; hubs hold nearly all edges."""
+    edges = [(5000 * s + 2500, 5000 * s + i) for s in range(3) for i in range(1500)] + [(1400, 5001), (20000, 20001)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {n: 10000 if n >= 10000 else 0 for e in edges for n in e} | {20000: 20000, 20001: 20000}
+
+
+def test_join_per_key_keeps_all_rows(spark):
+    per = spark.createDataFrame([("hot", 1, 6000), ("cold", 2, 3), ("none", 3, 0)], "k string, m int, n long")
+    left = spark.range(6003).select(F.when(F.col("id") < 6000, "hot").otherwise("cold").alias("k"), "id").unionByName(spark.range(2).select(F.lit(None).cast("string").alias("k"), "id"))
+    got = Counter((r.k, r.m) for r in shared.join_per_key(left, per, "k", 6003, F.col("id").cast("string")).collect())
+    assert got == {("hot", 1): 6000, ("cold", 2): 3}
+
+
 # 9 sharding
 
 
