@@ -4,8 +4,8 @@ A pass over the corpus counts the words of the benchmark. Each window (13 consec
 shorter one) is then known by its rarest words. A second pass stores the postings of those words alone: where each
 stands and, for the rarest word of a window, the words around it. Posting lists are intersected after subtracting the
 word's offset in the window, so a document is a candidate only where all lists agree on one start; the words around
-the rarest one then show whether the phrase is there exactly. Lists that agree within ``slop`` words, but not on one
-start, are proximity matches.
+the rarest one then show whether the phrase is there exactly. A proximity match is a posting of a window's rarest word
+(of its first place in the window) with every other word within ``slop`` places of its own, but not all in place.
 
 The benchmark is handled in blocks of about ``BLOCK_WORDS`` words, which bounds all that is broadcast; each block
 costs its own passes over the corpus.
@@ -60,7 +60,7 @@ def count_words(docs: DataFrame, vocabulary: set) -> dict:
     return {bytes(r.word): r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def plan_search(windows: dict, counts: dict) -> tuple[list, dict]:
+def plan_search(windows: dict, counts: dict, slop: int = 0) -> tuple[list, dict]:
     """windows: words to items. Rows (window, phrase, rank, ranks, word, offset), and for each word (before, after) to store."""
     rows, around = [], {}
     for n, phrase in enumerate(sorted(windows)):
@@ -72,7 +72,7 @@ def plan_search(windows: dict, counts: dict) -> tuple[list, dict]:
             at = first[w]
             rows.append((n, b" ".join(phrase).decode(errors="replace"), len(phrase), rank, len(rarest), w.decode(errors="replace"), at))
             before, after = around.get(w, (0, 0))
-            around[w] = (max(before, at), max(after, len(phrase) - 1 - at)) if rank == 0 else (before, after)
+            around[w] = (max(before, at + slop), max(after, len(phrase) - 1 - at + slop)) if rank == 0 else (before, after)
     return rows, around
 
 
@@ -141,14 +141,12 @@ def exact_matches(index: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, plan: DataFrame, slop: int) -> DataFrame:
-    """doc_id, doc_key, window, start, distance: the two rarest words of a window stand within ``slop`` of their places, not in them."""
-    starts = _starts(index, plan).where("ranks > 1").select("doc_id", "doc_key", "window", "rank", "start", F.floor(F.col("start") / F.lit(slop + 1)).alias("cell"))
-    a = starts.where("rank = 0").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    b = starts.where("rank = 1").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "doc_key", "window", "start", "cell")])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_key") == F.col("_doc_key")) & (F.col("window") == F.col("_window")) & (F.col("cell") == F.col("_cell"))
-    distance = F.abs(F.col("start") - F.col("_start"))
-    pairs = a.join(b, same).withColumn("distance", distance).where((F.col("distance") > 0) & (F.col("distance") <= slop))
-    return pairs.groupBy("doc_id", "doc_key", "window", "start").agg(F.min("distance").alias("distance"))
+    """doc_id, doc_key, window, start, distance: the rarest word in its place, all others within ``slop`` of theirs; distance is the largest of these shifts."""
+    there, own = F.split("near", " "), F.col("lead") - F.col("offset")
+    shift = lambda w, i: F.array_min(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.when(F.get(there, own + i + d) == w, F.abs(d))))
+    found = _starts(index, plan).where("rank = 0").withColumn("shifts", F.transform(F.split("phrase", " "), shift))
+    distance = F.when(~F.exists("shifts", lambda x: x.isNull()), F.array_max("shifts"))
+    return found.select("doc_id", "doc_key", "window", "start", distance.alias("distance")).where("distance > 0")
 
 
 def blocks(benchmark: DataFrame, size: int = WINDOW) -> Iterator[dict]:
@@ -171,7 +169,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     lengths = None
     for windows in blocks(benchmark, size):
         counts = count_words(docs, {w for phrase in windows for w in phrase}) if windows else {}
-        rows, around = plan_search(windows, counts)
+        rows, around = plan_search(windows, counts, slop)
         index = build_index(docs, around)
         lengths = lengths or index
         plan = spark.createDataFrame(rows, PLAN_TYPE)

@@ -268,12 +268,28 @@ def test_decontamination(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in TESTED if not contaminated(t)[-1]) and kept.columns == df.columns
 
 
-def test_proximity(spark):
-    near = [(1, "zeta one two omega"), (2, "zeta one omega two"), (3, "zeta " + "x " * 50 + "omega"), (4, "omega here")]
-    df, items = spark.createDataFrame(near, "doc_id long, text string"), spark.createDataFrame([(1, "zeta one two omega")], "item_id long, text string")
-    found = decontamination.search(df, items, slop=2)
-    assert [r.doc_id for r in found["exact"].collect()] == [1]
-    assert {(r.doc_id, r.item_id) for r in found["proximity"].collect()} == {(2, "1")} and all(0 < r.distance <= 2 for r in found["proximity"].collect())
+def near(doc, item, counts, slop):
+    """{(start, distance)} by trying every place of the item's rarest word."""
+    rarest = min(set(item), key=lambda w: (counts[w], w))
+    at, out = item.index(rarest), set()
+    for p in (p for p, w in enumerate(doc) if w == rarest):
+        shifts = [min((abs(d) for d in range(-slop, slop + 1) if 0 <= p - at + i + d < len(doc) and doc[p - at + i + d] == w), default=None) for i, w in enumerate(item)]
+        if None not in shifts and max(shifts):
+            out.add((p - at, max(shifts)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 3])
+def test_proximity(spark, slop):
+    draw = random.Random(slop)
+    texts = [(1, "zeta one two omega"), (2, "zeta one omega two"), (3, "zeta " + "x " * 50 + "omega"), (4, "two omega zeta one"), (5, None), (6, "")]
+    texts += [(n, " ".join(draw.choices("abcdef", k=draw.randrange(40)))) for n in range(7, 60)]
+    items = [(1, "zeta one two omega"), (2, "a b c d"), (3, "a b a"), (4, "f")]
+    found = decontamination.search(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    counts = Counter(w for _, t in texts for w in (t or "").split())
+    want = {(d, str(i), *m) for d, t in texts for i, p in items for m in near((t or "").split(), p.split(), counts, slop)}
+    assert {(r.doc_id, r.item_id, r.start, r.distance) for r in found["proximity"].collect()} == want and {m[0] for m in want if m[1] == "1"} >= {2}
+    assert {r.doc_id for r in found["exact"].where("item_id = 1").collect()} == {1}
 
 
 def test_decontamination_of_nothing(spark, no_docs):
