@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SETTLED: ContextVar[list[DataFrame] | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``settle`` writes in this context are deleted at its end, but for those that are taken out of the list."""
+    outer = _SETTLED.set(made := [])
+    try:
+        yield made
+    finally:
+        _SETTLED.reset(outer)
+        discard(*made)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
@@ -32,6 +49,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    if (made := _SETTLED.get()) is not None:
+        made.append(out)
     return out
 
 

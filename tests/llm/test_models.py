@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import neighbours, toxicity
+from cairn.llm import neighbours, shared, toxicity
 
 from corpus_helpers import more_columns, prose
 
@@ -108,7 +108,7 @@ def test_few_and_no_neighbours(spark):
     assert neighbours.nearest(neighbours.valid(df.limit(0)), F.col("key") % 20 == 0).isEmpty()
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, tmp_path, monkeypatch):
     rnd = random.Random(3)
     item = prose(rnd, 60, 5000)
     docs = [(i, prose(rnd, 60, 3000), "en", f"s{i % 2}", 1) for i in range(120)]
@@ -131,7 +131,11 @@ def test_pipeline(spark, tmp_path):
     assert seen["ngram_jaccard_join"] == sorted(clean | {202})
     assert seen["benchmark_decontamination"] == sorted(clean)
     assert seen["sharding"] == seen["mixing"] and set(seen["mixing"]) <= clean and max(map(seen["mixing"].count, set(seen["mixing"]))) <= 2
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+    with monkeypatch.context() as patched:
+        patched.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+    left = {p.name.rpartition("-")[0] for p in (tmp_path / "shared").glob("*/*")}
+    assert {n for n in left if n.startswith("pipeline-")} == {"pipeline-mixing"} and not left & {"edges", "sketches", "postings", "links"}
 
 
 @pytest.mark.parametrize("n", [200, 500, 2000, 6000])
