@@ -40,26 +40,28 @@ TOKEN_BITS, CELL_BITS, SMALL = 31, 21, 512
 COUNT_TOP = 2**24 - 1
 #: Words beyond which the parity bitmap has 128 bits; its two halves together are the 64-bit one.
 LONG = 80
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same but for the space, which then parts the words.
-NOT_SPACE = r"[\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters between words, each by itself: Java looks those up in a table, but tries ranges one by one.
+SEPARATORS = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum() or chr(c).isupper()) + "]+"
 HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PLACE = ("doc_id", "text_key", "line_no")
 #: What is known of a line where it is posted.
 SEEN = ("id", "doc", "n", "at", "low", "high")
+#: Lines up to which their texts are told by broadcast.
+FEW = 50_000
 #: Share of keys that the Bloom filters here let through by mistake.
 RATE = 1 / 8
 
 
-def split_words(line: Column) -> Column:
-    """The words of a line, repeated ones too, and perhaps empty strings."""
-    return F.split(F.regexp_replace(F.lower(line), NOT_SPACE, " "), " ")
+def words_of(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), SEPARATORS)), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, line."""
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.split(text, "\n").alias("lines"))  # once a text, not once a line
+    return texts.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line"))
 
 
 def place(of: str = "") -> Column:
@@ -79,11 +81,19 @@ def found_at(lines: DataFrame, places: DataFrame, n: int, level: int) -> tuple[D
     return lines.where(holds(place_hash(), bloom, bloom["words"].scalar())), False
 
 
+def lines_at(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """Lines among which are those at ``places``. Where these are few, texts that hold none of them are not split."""
+    if n > FEW:
+        return found_at(lines_of(docs), places, n, 91)[0]
+    text = lambda id_, key: F.xxhash64(id_, key)
+    held = places.select(text("first.doc_id", "first.text_key").alias("_text")).distinct()
+    return lines_of(docs.select("doc_id", "text").join(F.broadcast(held), text("doc_id", F.xxhash64(text_or_empty())) == F.col("_text"), "left_semi"))
+
+
 def tokens_of(lines: DataFrame) -> DataFrame:
-    """id, place and tokens (one for each distinct word) of lines that have words."""
-    words = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    tokens = F.transform(words, lambda h: h.bitwiseAND(F.lit(2**TOKEN_BITS - 1)).cast("int"))
-    return settle(lines.select(F.monotonically_increasing_id().alias("id"), place().alias("first"), tokens.alias("tokens")), "line-tokens")
+    """id, place and tokens (one for each distinct word)."""
+    tokens = F.transform(words_of(F.col("line")), lambda w: F.hash(w).bitwiseAND(F.lit(2**TOKEN_BITS - 1)))
+    return settle(lines.select(F.monotonically_increasing_id().alias("id"), place().alias("first"), tokens.alias("tokens")), "line-tokens", distinct=True)
 
 
 def count_tokens(tokens: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def described(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     whole = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.lit(1).cast("long"), t)))
     half = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(shift(F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long"), t)))
     rows = tokens.withColumn("_counts", counts.scalar()).select("id", "first", n.alias("n"), whole.alias("whole"), F.when(n > LONG, half).otherwise(zero).alias("high"), prefix.alias("prefix"))
-    return settle(rows, "line-prefixes")
+    return settle(rows, "line-prefixes", distinct=True)
 
 
 def postings(lines: DataFrame) -> DataFrame:
@@ -176,11 +186,10 @@ def similar_later(pairs: DataFrame, docs: DataFrame, known: DataFrame, name: str
     pairs = met = settle(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
     places = settle(known.select("id", "first").join(wanted, "id"), f"{name}-places")
-    lines, _ = found_at(lines_of(docs), places, places.count(), 91)
-    words = F.array_remove(F.array_distinct(split_words(F.col("line"))), "")
+    lines = lines_at(docs, places, places.count())
     at = places.select("id", "first", place_hash("first.").alias("_at"))
-    found = at.join(lines, (F.col("_at") == place_hash()) & place().eqNullSafe(F.col("first"))).select("id", words.alias("words"))
-    sets = settle(found.dropDuplicates(["id"]), f"{name}-words")
+    found = at.join(lines, (F.col("_at") == place_hash()) & place().eqNullSafe(F.col("first"))).dropDuplicates(["_at", "id"])
+    sets = settle(found.select("id", words_of(F.col("line")).alias("words")), f"{name}-words")
     of = lambda side: places.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first"))
     unsure = pairs.where("NOT sure").join(of("early"), "early").join(of("late"), "late").where("early_first <> late_first")
     turned = F.col("early_first") > F.col("late_first")
@@ -219,19 +228,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_rows, n_lines, removed: the numbers of the lines to remove, one row for each (doc_id, text)."""
     content = F.when(F.rlike("line", F.lit(HAS_WORD)), F.unhex(F.substring(F.sha2("line", 256), 1, 32)))
     lines = settle(lines_of(docs).select(*PLACE, content.alias("content")), "lines")
-    firsts = settle(lines.where("content IS NOT NULL").groupBy("content").agg(F.min(place()).alias("first")), "first-lines")
-    told, _ = found_at(lines_of(docs).where(F.rlike("line", F.lit(HAS_WORD))), firsts, firsts.count(), 90)
+    firsts = settle(lines.where("content IS NOT NULL").groupBy("content").agg(F.min(place()).alias("first"), F.count("*").alias("copies")), "first-lines")
+    told, _ = found_at(lines_of(docs), firsts, firsts.count(), 90)
     tokens = tokens_of(told)
     known = described(tokens, count_tokens(tokens))
     discard(tokens)
     gone = later_ones(docs, known).withColumn("_gone", F.lit(True)).join(known.select("id", "first"), "id")
     gone = gone.select(place_hash("first.").alias("_at"), F.col("first").alias("_first"), "_gone").dropDuplicates(["_at", "_first"])
     judged = firsts.join(gone, (place_hash("first.") == F.col("_at")) & F.col("first").eqNullSafe(F.col("_first")), "left")
-    judged = judged.select("content", "first", F.coalesce("_gone", F.lit(False)).alias("gone"))
-    judged = lines.join(judged, "content", "left").select(*PLACE, F.when(F.col("content").isNotNull(), F.col("gone") | ~place().eqNullSafe(F.col("first"))).otherwise(F.lit(False)).alias("gone"))
-    return judged.groupBy("doc_id", "text_key").agg(
-        F.sum((F.col("line_no") == 0).cast("int")).alias("n_rows"), (F.max("line_no") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
-    )
+    judged = judged.select("content", "first", F.coalesce("_gone", F.lit(False)).alias("gone"), "copies").where("gone OR copies > 1")
+    going = lines.join(judged, "content").where(F.col("gone") | ~place().eqNullSafe(F.col("first")))
+    going = going.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    texts = lines.groupBy("doc_id", "text_key").agg(F.sum((F.col("line_no") == 0).cast("int")).alias("n_rows"), (F.max("line_no") + 1).cast("long").alias("n_lines"))
+    every = texts.join(going, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    return every.select("doc_id", "text_key", "n_rows", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -42,11 +42,14 @@ def scratch() -> Iterator[list[DataFrame]]:
         discard(*made)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
+def settle(df: DataFrame, name: str, distinct: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing.
+
+    ``distinct`` says that its values hardly repeat, so that no dictionary of them is tried.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not distinct).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     if (made := _SETTLED.get()) is not None:

@@ -160,6 +160,25 @@ def test_lines_beyond_the_bloom_filter(spark, monkeypatch):
     assert line_dedup.clean(df).columns == df.columns
 
 
+def test_lines_take_no_text_along(spark):
+    """The key of a text is made once a text: above the generator that makes its lines nothing reads the text."""
+    df = spark.createDataFrame(LINES, "doc_id long, text string")
+    plan = line_dedup.lines_of(df)._jdf.queryExecution().optimizedPlan().toString()
+    above, generator, _ = plan.partition("Generate ")
+    assert generator and "xxhash64" not in above and "text#" not in above
+
+
+def test_lines_of_few_texts(spark, monkeypatch):
+    """Texts of few wanted lines are told by broadcast, those of many by a Bloom filter; the lines removed are the same."""
+    df = more_columns(spark.createDataFrame([*LINES, (None, "q r s t u v w x y z"), (None, None)], "doc_id long, text string"))
+    want = sorted(map(str, line_dedup.removed_lines(df).collect()))
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    assert sorted(map(str, line_dedup.removed_lines(df).collect())) == want
+    places = spark.createDataFrame([((4, 0, 0),)], "first struct<doc_id: long, text_key: long, line_no: int>")
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    assert line_dedup.lines_at(df, places, 1).isEmpty()
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert line_dedup.removed_lines(no_docs).isEmpty()
 
